@@ -1,6 +1,9 @@
 """Queries of the training-data operators, and DuckDB SQL for those that SQL can express."""
 
+from .bpe import op10
+from .decontam import op3
+from .quality import op4
 from .simhash import op9
 
-QUERIES = {"op9_simhash_near_dedup": op9}
+QUERIES = {"op3_decontamination": op3, "op4_quality": op4, "op9_simhash_near_dedup": op9, "op10_bpe": op10}
 ORACLES: dict[str, str] = {}
