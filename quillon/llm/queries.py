@@ -2,8 +2,9 @@
 
 from .bpe import op10
 from .decontam import op3
+from .pii import op8
 from .quality import op4
 from .simhash import op9
 
-QUERIES = {"op3_decontamination": op3, "op4_quality": op4, "op9_simhash_near_dedup": op9, "op10_bpe": op10}
+QUERIES = {"op3_decontamination": op3, "op4_quality": op4, "op8_pii": op8, "op9_simhash_near_dedup": op9, "op10_bpe": op10}
 ORACLES: dict[str, str] = {}
