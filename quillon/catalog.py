@@ -282,13 +282,13 @@ def tokens_case(name: str, analyzer: a.Analyzer, terms_sql: str, table: str = "d
 
 tokens_case("tokenize_unicode", a.unicode_tokens, r"regexp_extract_all(text, '[\p{L}\p{Nd}]+')")
 tokens_case("tokenize_whitespace", a.whitespace_tokens, r"regexp_extract_all(text, '[^\s\x{85}\p{Z}]+')")
-tokens_case("tokenize_simple", a.registry.analyzer("simple"), r"list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), x -> lower(x))")
+tokens_case("tokenize_simple", a.registry.analyzer("simple"), r"list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: lower(x))")
 tokens_case("tokenize_keyword", a.keyword_tokens, "CASE WHEN length(source) > 0 THEN [source] ELSE [] END", col="source")
 tokens_case("html_strip", a.chain(a.whitespace_tokens, before=(a.strip_html,)), r"regexp_extract_all(replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '<(.|\n)*$', ''), '>', ' '), '[^\s\x{85}\p{Z}]+')", "pages", "page_id", "html")
 tokens_case("punct_strip", a.chain(a.whitespace_tokens, before=(a.strip_punctuation,)), r"regexp_extract_all(regexp_replace(text, '\p{P}', ' ', 'g'), '[^\s\x{85}\p{Z}]+')")
 tokens_case("trim_filter", a.chain(a.keyword_tokens, a.trim_terms), r"CASE WHEN length(x) > 0 THEN [trim(x, chr(32) || chr(9) || chr(10) || chr(13))] ELSE [] END".replace("x", "text"))
 
-_SIMPLE = rf"SELECT doc_id, unnest(t) AS term, CAST(generate_subscripts(t, 1) AS INTEGER) AS position FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+'), x -> lower(x)) AS t FROM documents)"
+_SIMPLE = rf"SELECT doc_id, unnest(t) AS term, CAST(generate_subscripts(t, 1) AS INTEGER) AS position FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+'), lambda x: lower(x)) AS t FROM documents)"
 STOPPED = ", ".join(f"'{w}'" for w in a.ENGLISH_STOP_WORDS)
 
 
@@ -300,14 +300,14 @@ filter_case("stop_filter", f"SELECT * FROM t WHERE term NOT IN ({STOPPED})", a.s
 filter_case("length_filter", "SELECT * FROM t WHERE length(term) BETWEEN 4 AND 7", a.length_between(4, 7))
 filter_case("unique_filter", "SELECT doc_id, term, min(position) AS position FROM t GROUP BY doc_id, term", a.unique)
 filter_case("edge_ngram", "SELECT doc_id, left(term, n) AS term, position FROM t, (SELECT unnest(range(2, 5)) AS n) WHERE n <= length(term)", a.edge_ngrams(2, 4))
-filter_case("ngram", "SELECT doc_id, substr(term, i, n) AS term, position FROM t, (SELECT unnest(range(3, 5)) AS n), LATERAL (SELECT unnest(range(1, length(term) - n + 2)) AS i)", a.ngrams(3, 4))
+filter_case("ngram", "SELECT doc_id, substr(term, i, n) AS term, position FROM t, (SELECT unnest(range(5, 7)) AS n), LATERAL (SELECT unnest(range(1, length(term) - n + 2)) AS i)", a.ngrams(5, 6))
 filter_case(
     "synonym_filter", "SELECT * FROM t UNION ALL SELECT doc_id, syn, position FROM t JOIN (VALUES ('orantion', 'thing'), ('orantion', 'tiontion thshing'), ('pathetic', 'worthless')) v(root, syn) ON term = root", synonym_filter(THESAURUS)
 )
 
-_CODE_PARTS = r"""list_concat([raw], CASE WHEN contains(raw, '.') THEN list_filter(string_split(raw, '.'), p -> p <> '') ELSE [] END,
-    CASE WHEN contains(raw, '_') THEN list_filter(string_split(raw, '_'), p -> p <> '') ELSE [] END,
-    CASE WHEN len(list_filter(string_split(humps, chr(1)), p -> p NOT IN ('', '_'))) > 1 THEN list_filter(string_split(humps, chr(1)), p -> p NOT IN ('', '_')) ELSE [] END)"""
+_CODE_PARTS = r"""list_concat([raw], CASE WHEN contains(raw, '.') THEN list_filter(string_split(raw, '.'), lambda p: p <> '') ELSE [] END,
+    CASE WHEN contains(raw, '_') THEN list_filter(string_split(raw, '_'), lambda p: p <> '') ELSE [] END,
+    CASE WHEN len(list_filter(string_split(humps, chr(1)), lambda p: p NOT IN ('', '_'))) > 1 THEN list_filter(string_split(humps, chr(1)), lambda p: p NOT IN ('', '_')) ELSE [] END)"""
 _CODE = rf"""WITH w AS (SELECT doc_id, unnest(r) AS raw, CAST(generate_subscripts(r, 1) AS INTEGER) AS position FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{Nd}}_.]+|[^\p{{L}}\p{{Nd}}_.\s\x{{85}}\p{{Z}}]') AS r FROM documents)),
 h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '(\p{{Ll}})(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), '([^\x01])(\p{{Lu}}\p{{Ll}})', '\1' || chr(1) || '\2', 'g'), '([^\x01])(\p{{Lu}})$', '\1' || chr(1) || '\2') AS humps FROM w)"""
 case("tokenize_code", f"{_CODE} SELECT doc_id, lower(unnest({_CODE_PARTS})) AS term, position FROM h")(lambda spark, sf: read(spark, sf, "documents").select("doc_id", F.inline(a.code_tokens(F.col("text")))))

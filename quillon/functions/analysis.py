@@ -135,9 +135,13 @@ def length_between(low: int, high: int = 0) -> Filter:
 
 
 def unique(tokens: TokenArray) -> TokenArray:
-    """The first token of each term."""
-    terms = F.array_distinct(tokens["term"])
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.element_at(tokens["position"], F.array_position(tokens["term"], t).cast("int")).alias("position")))
+    """The first token of each term, by position: sorted by term, each is compared with the one before."""
+    kind = "struct<term:string,position:int>"
+    ordered = F.array_sort(tokens.cast(f"array<{kind}>"))
+    before = F.slice(F.concat(F.array(F.lit(None).cast(kind)), ordered), F.lit(1), F.size(ordered))
+    fresh = F.filter(F.zip_with(ordered, before, lambda x, y: F.when(y.isNull() | (x["term"] != y["term"]), x)), lambda t: t.isNotNull())
+    by_place = F.array_sort(F.transform(fresh, lambda t: F.struct(t["position"].alias("position"), t["term"].alias("term"))))
+    return F.transform(by_place, lambda t: F.struct(t["term"].alias("term"), t["position"].alias("position")))
 
 
 # character filters
