@@ -218,12 +218,12 @@ class SearchIndex:
             else:
                 t.write.parquet(f"{path}/{snap}/{name}")
         meta = {"version": VERSION, "snapshot": snap, "schemas": {n: t.schema.json() for n, t in self.tables.items()}}
-        _write_text(self.spark, f"{path}/_meta.json", json.dumps(meta))
+        _write_text(self.spark, f"{path}/meta.json", json.dumps(meta))
         return SearchIndex.open(self.spark, path, self.mapping, scorer=self.scorer, plugins=self.plugins)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, mapping: IndexMapping | None = None, **kw) -> SearchIndex:
-        meta = json.loads(_read_text(spark, f"{path}/_meta.json"))
+        meta = json.loads(_read_text(spark, f"{path}/meta.json"))
         if meta["version"] != VERSION:
             raise IndexVersionError(f"index version {meta['version']}, not {VERSION}")
         tables = {n: spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(f"{path}/{meta['snapshot']}/{n}") for n, s in meta["schemas"].items()}
