@@ -188,7 +188,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     ``vocabulary`` is the path of a rank file; it is shipped to the executors as a file.
     A null text has null ids and counts; an empty one has none of them; ids of documents
-    may be null or repeat; other columns are ignored.
+    may be null or repeat; other columns are ignored.  Letters and digits are those of
+    the regex library's Unicode version, which may be newer than another encoder's.
     """
     path = vocabulary or default_vocabulary()
     docs.sparkSession.sparkContext.addFile(path)

@@ -57,6 +57,13 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches holding about ``limit`` bytes of text each (one row at least)."""
     for b in batches:
@@ -79,8 +86,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POS = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+POS = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ISWORD = np.zeros(256, bool)
 _ISWORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 
@@ -139,7 +146,7 @@ def words(col: pa.Array, lower: bool = True) -> Words:
         body = data[isw]
         heads = np.concatenate(([0], np.cumsum(size)[:-1]))
         pos = np.arange(len(body)) - np.repeat(heads, size)
-        h = np.add.reduceat(_BYTE[body] * _POS[pos & 4095], heads)
+        h = np.add.reduceat(BYTE[body] * POS[pos & 4095], heads)
         h = mix(h + size.astype(np.uint64))
     else:
         h = np.zeros(0, np.uint64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import chunks, grams, hash_words, member, sieve, words
+from .common import chunks, fresh, grams, hash_words, member, sieve, words
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.6
@@ -212,8 +212,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item; rows with a null id or text stay."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    key = fresh(docs, "__bad")
+    bad = leaks(docs, items).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, docs["doc_id"] == F.col(key), "left_anti")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise
+from .common import chunks, fresh, materialise
 
 KINDS = ["none", "email", "phone", "ip", "card", "secret"]
 NONE, EMAIL, PHONE, IP, CARD, SECRET = range(6)
@@ -182,15 +182,18 @@ def redact(docs: DataFrame) -> DataFrame:
     Rows without spans, those with a null id or text among them, are unchanged.  Where
     several texts share an id, a span is cut from each that is long enough; keep ids unique.
     """
-    cut = spans(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "kind"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
+    key, col = fresh(docs, "__id"), fresh(docs, "__spans")
+    cut = spans(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "kind"))).alias(col)).withColumnRenamed("doc_id", key)
+    put = lambda a, s: F.concat(a["out"], F.substring("text", a["at"] + 1, s["begin"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))
     text = F.concat(
-        F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, s: F.struct(F.concat(a["out"], F.substring("text", a["at"] + 1, s["begin"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at")), lambda a: a["out"]),
-        F.expr("substring(text, element_at(__spans, -1).end + 1)"),
+        F.aggregate(col, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, s: F.struct(put(a, s).alias("out"), s["end"].alias("at")), lambda a: a["out"]),
+        F.substring("text", F.element_at(F.col(col), -1)["end"] + 1, F.length("text")),
     )
-    joined = docs.join(cut, docs["doc_id"].cast("long") == F.col("__id"), "left")
-    out = joined.withColumn("text", F.when(F.col("__id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))
+    joined = docs.join(cut, docs["doc_id"].cast("long") == F.col(key), "left")
+    changed = F.col(key).isNotNull() & F.col("text").isNotNull()
+    out = joined.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, mix, words
+from .common import chunks, fresh, materialise, mix, words
 
 RADIUS = 14
 MIN_LONG, LONG_BYTES = 8, 4
@@ -190,8 +190,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without all but one of each near-duplicate group; rows with a null id stay."""
-    gone = near_duplicates(docs, radius).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    key = fresh(docs, "__gone")
+    gone = near_duplicates(docs, radius).where("not kept").select(F.col("doc_id").alias(key))
+    return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
