@@ -17,11 +17,10 @@ from ..functions.stemmer import stem
 
 def synonym_filter(thesaurus: dict[str, tuple[str, ...]], limit: int = 10):
     """A token filter: each token, then up to ``limit`` synonyms of it at the same position."""
-    table = F.create_map(*(x for root, syns in thesaurus.items() for x in (F.lit(root.lower()), F.array(*(F.lit(s) for s in syns[:limit]))))) if thesaurus else None
-
     def run(tokens):
-        if table is None:
+        if not thesaurus:
             return tokens
+        table = F.create_map(*(x for root, syns in thesaurus.items() for x in (F.lit(root.lower()), F.array(*(F.lit(s) for s in syns[:limit])))))
         more = lambda t: F.coalesce(F.element_at(table, F.lower(t["term"])), F.array().cast("array<string>"))
         return F.flatten(F.transform(tokens, lambda t: F.transform(F.concat(F.array(t["term"]), more(t)), lambda w: F.struct(w.alias("term"), t["position"].alias("position")))))
 
