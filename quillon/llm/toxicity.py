@@ -2,8 +2,8 @@
 
 Features are the words of a text and the first 4 and 5 bytes of its longer words.
 In every labelled sentence that names a group, each identity term is swapped for every
-other of its list, the neutral one included; squared changes of the score join the
-loss, so the weights of a list's terms are driven together and to the neutral term's.
+other of its list, and for none; squared changes of the score join the loss, so the
+weights of a list's terms are driven together, and to that of naming nobody.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .common import Words, chunks, hash_words, member, mix, sieve, words
+from .common import BYTE, POS, Words, chunks, materialise, member, mix, sieve, words
 
 MAX_TRAIN, FEATURES, RIDGE, SWAP = 20_000, 4096, 1e-4, 1.0
-#: Lists of interchangeable identity terms; the first of each is neutral.
+#: Lists of interchangeable identity terms.
 IDENTITY = (
     ("person", "woman", "man", "transgender", "gay", "lesbian", "straight", "bisexual", "queer"),
     ("people", "women", "men", "gays", "lesbians", "immigrants", "refugees", "foreigners"),
@@ -40,7 +39,7 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(size > n)
         h = np.full(len(at), n, np.uint64)
         for i in range(n):
-            h += common._BYTE[w.data[w.starts[at] + i]] * common._POS[i]
+            h += BYTE[w.data[w.starts[at] + i]] * POS[i]
         out.append(mix(h ^ np.uint64(0xABCDEF)))
         own.append(doc[at])
     h, d = np.concatenate(out), np.concatenate(own)
@@ -69,36 +68,32 @@ class Linear:
 
 
 def swaps(text: str, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> list[tuple[str, str]]:
-    """(sentence, sentence with one identity term swapped), for each term and each other of its list."""
+    """(sentence, sentence with one identity term swapped), for each term and each other of its list, and for none."""
     groups = {t: g for g in identity for t in g}
     out = []
     for s in _SENTENCE.findall(text.lower()):
         found = re.findall(r"\w+", s)
         for t in dict.fromkeys(x for x in found if x in groups):
-            out += [(s, re.sub(rf"\b{t}\b", u, s)) for u in groups[t] if u != t]
+            out += [(s, re.sub(rf"\b{t}\b", u, s)) for u in (*groups[t], "") if u != t]
     return out
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, pairs: list[tuple[str, str]], swap: float = SWAP, size: int = FEATURES, steps: int = 300) -> Linear:
-    """Logistic regression over the most telling features and all that the swaps touch; a constant where there is one class."""
+def effects(pairs: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each (sentence, swapped sentence): the features only the one and only the other has."""
+    if not pairs:
+        return []
+    sides = [features(words(pa.array(s, pa.large_string()))) for s in zip(*pairs, strict=True)]
+    sets = [[h[np.searchsorted(d, i) : np.searchsorted(d, i, side="right")] for i in range(len(pairs))] for d, h in sides]
+    return [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in zip(*sets, strict=True)]
+
+
+def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple[np.ndarray, np.ndarray]], swap: float = SWAP, steps: int = 300) -> Linear:
+    """Logistic regression on (text, feature) pairs, classes of equal weight; a constant where there is one class."""
     if len(np.unique(y)) < 2:
         return Linear(np.zeros(0, np.uint64), np.zeros(0), 20.0 if len(y) and y[0] else -20.0)
     n1, n0 = y.sum(), len(y) - y.sum()
-    terms, f = np.unique(feature, return_inverse=True)
-    c1, c = np.bincount(f, y[doc], len(terms)), np.bincount(f, minlength=len(terms))
-    p = c / len(y)
-    z = np.abs(c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[c < 3] = 0
-    chosen = terms[np.argsort(-z, kind="stable")[:size]]
-    touched: list[tuple[np.ndarray, np.ndarray]] = []
-    if pairs:
-        sides = [features(words(pa.array(s, pa.large_string()))) for s in zip(*pairs, strict=True)]
-        sets = [[h[np.searchsorted(d, i) : np.searchsorted(d, i, side="right")] for i in range(len(pairs))] for d, h in sides]
-        touched = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in zip(*sets, strict=True)]
-        chosen = np.concatenate([chosen, *(x for t in touched for x in t)])
-    chosen = np.unique(chosen)
-    at = member(feature, chosen, sieve(chosen))
-    doc, f = doc[at >= 0], at[at >= 0]
+    chosen = np.unique(np.concatenate([feature, *(x for t in touched for x in t)]))
+    f = np.searchsorted(chosen, feature)
     row = np.array([i for i, t in enumerate(touched) for side in t for _ in side], np.int64)
     col = np.searchsorted(chosen, np.concatenate([np.zeros(0, np.uint64), *(x for t in touched for x in t)]))
     sign = np.array([s for t in touched for s, side in zip((1.0, -1.0), t, strict=True) for _ in side])
@@ -117,13 +112,16 @@ def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, pairs: list[tuple[s
     return Linear(chosen, w, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity: tuple[tuple[str, ...], ...] = IDENTITY, swap: float = SWAP) -> Linear:
-    """Fit on the labelled documents, at most ``max_train`` of them: those of the smallest id hashes."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity: tuple[tuple[str, ...], ...] = IDENTITY, swap: float = SWAP, size: int = FEATURES) -> Linear:
+    """Fit on the labelled documents, at most ``max_train`` of them: those of the smallest id hashes.
+
+    Features are counted by class in Spark; only the ``size`` most telling of them, and
+    those that swaps touch, are collected for each document.
+    """
     label = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("double").alias("__y"))
     sample = label.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(sample), "__id")  # max_train rows at most
     named = re.compile(r"\b(?:" + "|".join(re.escape(t) for g in identity for t in g) + r")\b", re.I)
-    groups = identity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -132,13 +130,30 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identi
             texts = ["\n".join(s for s in _SENTENCE.findall(t) if named.search(s)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), lists, pa.array(texts, pa.string())], ["id", "y", "h", "named"])
 
-    got = rows.select("__id", "text", "__y").mapInArrow(run, "id long, y double, h array<long>, named string").toArrow().sort_by("id").combine_chunks()
-    if not got.num_rows:
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0), [])
-    lists = got.column("h").combine_chunks()
-    size = lists.value_lengths().to_numpy()
-    pairs = [p for t in got.column("named").to_pylist() if t for p in swaps(t, groups)]
-    return fit(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy().view(np.uint64), got.column("y").to_numpy(), pairs, swap)
+    table = materialise(rows.select("__id", "text", "__y").mapInArrow(run, "id long, y double, h array<long>, named string"), "labelled")
+    n, n1 = table.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).collect()[0]
+    if n1 in (0, n):
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.full(n, float(n1 > 0)), [])
+    counted = table.select("y", F.explode("h").alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("*").alias("c")).where("c >= 3")
+    p = F.col("c") / n
+    z = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / (n - n1)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)))
+    telling = [r["f"] for r in counted.orderBy(F.desc(F.round(z, 9)), "f").limit(size).collect()]
+    touched = effects([x for r in table.where("named <> ''").orderBy("id").select("named").collect() for x in swaps(r["named"], identity)])
+    chosen = np.unique(np.concatenate([np.array(telling, np.int64).view(np.uint64), *(x for t in touched for x in t)]))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = sieve(chosen)
+        for b in batches:
+            at = member(b.column("h").flatten().to_numpy().view(np.uint64), chosen, bloom)
+            row = np.repeat(np.arange(b.num_rows), b.column("h").value_lengths().to_numpy())[at >= 0]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)), pa.array(at[at >= 0].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), lists], ["id", "y", "f"])
+
+    got = table.select("id", "y", "h").mapInArrow(pick, "id long, y double, f array<int>").toArrow().sort_by("id").combine_chunks()
+    lists = got.column("f").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    length = lists.value_lengths().to_numpy()
+    return fit(np.repeat(np.arange(len(length)), length), chosen[lists.flatten().to_numpy()], got.column("y").to_numpy(), touched, swap)
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:
