@@ -264,7 +264,7 @@ def _cosine(spark, sf):
     return e.select("vec_id", F.round(cosine(F.col("embedding"), array_literal(vec)), 6).alias("sim"))
 
 
-@case("hybrid", scored("SELECT doc_id, m.s + coalesce(k.s, 0) AS s FROM m LEFT JOIN k USING (doc_id)", f"m AS (SELECT * FROM ({any_of('the')}) WHERE doc_id IN (SELECT vec_id FROM embeddings)), k AS (SELECT vec_id AS doc_id, sim / max(sim) OVER () AS s FROM (SELECT * FROM ({_SIM}) WHERE sim > 0 ORDER BY round(sim, 9) DESC, vec_id LIMIT 50)),").replace("FROM documents)),", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))),", 1).replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"))
+@case("hybrid", scored("SELECT doc_id, m.s + coalesce(k.s, 0) AS s FROM m LEFT JOIN k USING (doc_id)", f"m AS (SELECT * FROM ({any_of('the')}) WHERE doc_id IN (SELECT vec_id FROM embeddings)), k AS (SELECT vec_id AS doc_id, sim / max(sim) OVER () AS s FROM (SELECT * FROM ({_SIM}) WHERE sim > 0 AND vec_id IN (SELECT doc_id FROM documents) ORDER BY round(sim, 9) DESC, vec_id LIMIT 50)),").replace("FROM documents)),", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))),", 1).replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"))
 def hybrid(spark, sf):
     rows = read(spark, sf, "documents").join(read(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
     m = IndexMapping(DocumentMapping({"text": text_field("simple"), "embedding": vector_field(64)}, dynamic=False))
