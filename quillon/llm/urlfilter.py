@@ -40,10 +40,11 @@ def apply_rules(urls: DataFrame, rules: DataFrame, rows: int = ROWS) -> DataFram
     spark = urls.sparkSession
     u = urls.where("page_id is not null and url is not null").select(F.col("page_id").cast("long").alias("number"), "url", url_key(F.col("url")).alias("key"))
     r = rules.where("rule_id is not null and prefix is not null").select(F.col("rule_id").cast("long").alias("number"), F.col("prefix").alias("key"), F.col("action").cast("string").alias("action"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-u.count() // rows))
+    n = u.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))
     cuts: list[bytes] = []  # parts - 1 keys, of a sample: they set balance, never the result
-    if parts > 1:
-        sample = u.select("key", F.rand(7).alias("r")).orderBy("r").limit(parts * 50).select("key").collect()
+    if parts > 1 and n:
+        sample = u.select("key").sample(min(1.0, 50 * parts / n), seed=7).collect()  # about 50 keys a partition
         keys = sorted(x["key"].encode() for x in sample)
         cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
     held = spark.sparkContext.broadcast(cuts)
