@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, fresh, materialise, mix, words
 
-RADIUS = 14
+RADIUS = 20
 MIN_LONG, LONG_BYTES = 8, 4
 TILE, MAX_TILE, TILES = 32768, 262144, 64
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()

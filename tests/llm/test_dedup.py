@@ -51,6 +51,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["group_id"]) for r in got)
 
 
+def test_edited_copies_share_a_group(spark):
+    """Recall against brute-force Jaccard of 3-word shingles, with 3 to 5 % of the words of each copy replaced."""
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(80):
+        base = prose(rnd, rnd.randrange(60, 300)).split()
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for k in rnd.sample(range(len(base)), round(len(base) * rnd.uniform(0.03, 0.05))):
+                copy[k] = prose(rnd, 1)
+            texts.append(copy)
+    sets = [{tuple(x.strip(".,") for x in t[k : k + 3]) for k in range(len(t) - 2)} for t in texts]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])]
+    got = simhash.near_duplicates(spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)).collect()
+    group = {r["doc_id"]: r["group_id"] for r in got}
+    fp, _ = simhash.fingerprints(pa.array([" ".join(t) for t in texts]))
+    assert len(near) > 200
+    assert sum(np.bitwise_count(fp[a] ^ fp[b]).sum() <= simhash.RADIUS for a, b in near) >= 0.97 * len(near)
+    assert sum(a in group and group[a] == group.get(b) for a, b in near) >= 0.99 * len(near)
+    assert all(x // 4 == g // 4 for x, g in group.items())
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "u long, v long")
     assert {(r["u"], r["v"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100), (103, 100)}
