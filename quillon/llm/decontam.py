@@ -57,7 +57,7 @@ class Index:
     blocks: np.ndarray  # ... in each block of items
     block_size: int
     half: int  # a passage is two neighbouring runs of so many words
-    parts: list[tuple[np.ndarray, np.ndarray]]  # hashed word sequences of question and answer
+    parts: list[tuple[np.ndarray, np.ndarray]]  # hashed words of question and answer
 
 
 def _sequences(h: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ def build(items: list[tuple[int, str]], df: dict[int, int] | None = None, total:
     np.maximum.at(blocks, (term, item // block_size), impact.astype(np.float32) * np.float32(1.000001))
     ptr = np.searchsorted(term, np.arange(len(terms) + 1))
     cut = [hash_words(list(split_item(items[k][1]))) for k in full]
-    parts = [(_sequences(q), _sequences(a)) for q, a in cut]
+    parts = [(q, a) for q, a in cut]
     return Index(ids, terms, sieve(terms), ptr, item, impact, blocks.max(1, initial=0), blocks, block_size, max(half, int(size.max(initial=0))), parts)
 
 
@@ -106,13 +106,29 @@ def retrieve(ix: Index, terms: np.ndarray, threshold: float) -> list[tuple[int,
     return [(int(i), float(score[i])) for i in np.flatnonzero(score >= threshold - 1e-12)]
 
 
+def edits(want: np.ndarray, passage: np.ndarray) -> int:
+    """Words to replace, insert or leave out to turn ``want`` into the stretch of the passage most like it."""
+    at = np.arange(len(passage) + 1)
+    row = np.zeros(len(passage) + 1, np.int64)
+    for word in want:
+        step = row + 1
+        step[1:] = np.minimum(step[1:], row[:-1] + (passage != word))
+        row = np.minimum.accumulate(step - at) + at
+    return int(row.min())
+
+
 def contained(ix: Index, i: int, passage: np.ndarray) -> tuple[float, float]:
-    """Shares of the question's and of the answer's word sequences that the passage holds."""
+    """Shares of the question and of the answer that the passage holds: of word sequences, or of words in order where that is more.
 
+    A changed word breaks up to GRAM sequences, most of those of a short part, but is one edit.
+    """
     have = [grams(passage, n) for n in range(1, GRAM + 1)]  # a part of under GRAM words is one shorter sequence
 
-    def share(want: np.ndarray) -> float:
-        return max(float(np.isin(want, h).mean()) for h in have) if len(want) else 1.0
+    def share(part: np.ndarray) -> float:
+        if not len(part):
+            return 1.0
+        whole = max(float(np.isin(_sequences(part), h).mean()) for h in have)
+        return whole if whole == 1 else max(whole, 1 - edits(part, passage) / len(part))
 
     question, answer = ix.parts[i]
     return share(question), share(answer)

@@ -63,6 +63,20 @@ def test_leaks_are_found_by_any_sharding(spark):
         assert got == {(i, i % 40) for i in range(80) if i % 2}
 
 
+def test_leaks_with_one_edited_word(spark):
+    rnd = random.Random(12)
+    items = [(i, f"{prose(rnd, 12)}? {prose(rnd, 7)}") for i in range(20)]
+    docs, want = [], set()
+    for i, t in items:
+        words = t.split()
+        for k in range(len(words)):
+            docs.append((len(docs), " ".join([prose(rnd, 30), *words[:k], "replaced", *words[k + 1 :], prose(rnd, 30)])))
+            want.add((docs[-1][0], i))
+        docs.append((len(docs), " ".join([prose(rnd, 30), *words[:12], prose(rnd, 30)])))  # the question alone is no leak
+    got = decontam.leaks(spark.createDataFrame([row(*x) for x in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_block_max_bounds_lose_nothing():
     items, docs = items_and_docs()
     ix = decontam.build(items)
