@@ -64,8 +64,8 @@ def _sequences(h: np.ndarray) -> np.ndarray:
     return np.unique(grams(h, min(GRAM, max(1, len(h)))))
 
 
-def build(items: list[tuple[int, str]], df: dict[int, int] | None = None, total: int | None = None, half: int = PASSAGE) -> Index:
-    """The index of items with a word; df and total: counts over all shards of items, where there are several."""
+def build(items: list[tuple[int, str]], df: dict[int, int] | None = None, total: int | None = None, half: int = PASSAGE, avg: float | None = None) -> Index:
+    """The index of items with a word; df, total and avg (words an item): over all shards of items, where there are several."""
     hashed = [h for h in hash_words([t for _, t in items])]
     full = [k for k, h in enumerate(hashed) if len(h)]
     ids = np.array([items[k][0] for k in full], np.int64)
@@ -79,7 +79,7 @@ def build(items: list[tuple[int, str]], df: dict[int, int] | None = None, total:
     n = total or len(ids)
     dfs = count if df is None else np.array([df.get(int(t), 1) for t in terms.view(np.int64)])
     idf = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
-    avg = size.mean() if len(size) else 1.0
+    avg = avg or (size.mean() if len(size) else 1.0)
     impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / avg))
     impact /= np.bincount(item, impact, len(ids))[item] if len(item) else 1
     order = np.lexsort((item, term))
@@ -187,10 +187,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    size, total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).collect()[0]
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     shards = max(1, -(-size // shard_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    counts, half = None, PASSAGE
+    counts, half, total, avg = None, PASSAGE, None, None
     if shards > 1:
 
         def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +198,12 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                 w = words(b.column("text"))
                 for x, y in zip(w.ptr[:-1], w.ptr[1:], strict=True):
                     h = np.unique(w.hashes[x:y])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), y - x))], ["term", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((y - x) * (np.arange(len(h)) == 0))], ["term", "n"])  # the item's length, once
 
         seen = items.select("text").mapInArrow(distinct, "term long, n long")
-        counts = seen.groupBy("term").agg(F.count("*").alias("df"), F.max("n").alias("n"))
-        half = max(half, counts.agg(F.max("n")).collect()[0][0] or 0)
+        counts = seen.groupBy("term").agg(F.count("*").alias("df"))
+        longest, total, avg = seen.where("n > 0").agg(F.max("n"), F.count("*"), F.avg("n")).collect()[0]
+        half = max(half, longest or 0)
     found = None
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
@@ -212,7 +213,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
             here = np.unique(np.concatenate([np.zeros(0, np.uint64), *hash_words([r["text"] for r in held])])).view(np.int64)
             mine = spark.createDataFrame([(int(t),) for t in here], "term long")
             df = {r["term"]: r["df"] for r in counts.join(mine, "term", "left_semi").collect()}
-        ix = spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in held], df, total if df is not None else None, half))
+        ix = spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in held], df, total, half, avg))
 
         def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches):

@@ -63,6 +63,19 @@ def test_leaks_are_found_by_any_sharding(spark):
         assert got == {(i, i % 40) for i in range(80) if i % 2}
 
 
+def test_scores_do_not_depend_on_the_sharding(spark):
+    rnd = random.Random(13)
+    items = []
+    for i in range(30):
+        twice = prose(rnd, 4)
+        items.append((i, f"{twice} {prose(rnd, rnd.choice([2, 10, 80]))} {twice}? {prose(rnd, 9)} {twice}"))
+    items += [(100, "!!"), (101, "...")]  # without a word
+    docs = [(i, " ".join([prose(rnd, 20), *t.split()[:-6], *t.split()[-5:], prose(rnd, 20)])) for i, t in items[:30]]  # one word less
+    d, b = spark.createDataFrame([row(*x) for x in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({tuple(r) for r in decontam.leaks(d, b, shard_bytes=size).collect()} for size in (1 << 24, 2000))
+    assert len(one) >= 25 and one == many
+
+
 def test_leaks_with_one_edited_word(spark):
     rnd = random.Random(12)
     items = [(i, f"{prose(rnd, 12)}? {prose(rnd, 7)}") for i in range(20)]
