@@ -42,6 +42,7 @@ CANDIDATE = re.compile(
     r"|(?<!\w)[A-Za-z0-9_\-]{20,}(?!\w)"  # long tokens
     r"|\+?\d(?:[ .-]?\d)+"  # digits, perhaps in groups
 )
+_MAY_HOLD = re.compile(r"[0-9@]|[A-Za-z0-9_\-]{20}")
 _PREFIX = re.compile(r"(\w[\w-]*)[\s:=\"'(#]*$")
 _IPV4 = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 LABELERS = ["rx_email", "rx_phone", "rx_ip", "rx_card", "rx_secret", "gaz_domain", "gaz_issuer", "ctx_cue", "ctx_assign", "lf_short"]
@@ -86,7 +87,7 @@ def votes(span: str, before: str) -> tuple[list[int], list[int]]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, begin, end, pattern) of each candidate; pattern: its votes and features."""
+    """(doc_id, begin, end, pattern) of each candidate, of rows with a null id too; pattern: its votes and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -98,7 +99,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                     ids.append(i), begins.append(s), ends.append(e), patterns.append(v + f)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(patterns, pa.list_(pa.int32()))], ["doc_id", "begin", "end", "pattern"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[0-9@]|[A-Za-z0-9_\-]{20}"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(_MAY_HOLD.pattern))
     return rows.mapInArrow(run, "doc_id long, begin int, end int, pattern array<int>")
 
 
@@ -153,48 +154,56 @@ def train(p: np.ndarray, post: np.ndarray, count: np.ndarray, steps: int = 300,
     return theta
 
 
+def decisions(found: DataFrame) -> list[tuple[list[int], str, float]]:
+    """(pattern, kind, confidence) of the candidates' patterns decided to be personal data or a secret."""
+    counted: list[Row] = found.groupBy("pattern").count().orderBy("pattern").collect()
+    if not counted:
+        return []
+    p, count = np.array([r["pattern"] for r in counted]), np.array([r["count"] for r in counted], float)
+    _, _, post = reliabilities(p[:, : len(LABELERS)], count)
+    z = _design(p) @ train(p, post, count)
+    q = np.exp(z - z.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    return [(r["pattern"], KINDS[int(k)], round(float(q[i, k]), 4)) for i, (r, k) in enumerate(zip(counted, q.argmax(1), strict=True)) if k]
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, begin, end, kind, confidence) of every span decided to be personal data or a secret.
 
     begin and end count characters of the text.  Labelers, EM and classifier use the
-    candidates of all the documents.  Rows with a null id or text have no spans; an empty
-    table gives an empty result; repeated rows give their spans once; other columns are
-    ignored.
+    candidates of all the documents.  Rows with a null id or text have no spans here; an
+    empty table gives an empty result; repeated rows give their spans once; other columns
+    are ignored.
     """
-    spark = docs.sparkSession
     found = materialise(candidates(docs), "candidates")
-    counted: list[Row] = found.groupBy("pattern").count().orderBy("pattern").collect()
-    rows = []
-    if counted:
-        p, count = np.array([r["pattern"] for r in counted]), np.array([r["count"] for r in counted], float)
-        _, _, post = reliabilities(p[:, : len(LABELERS)], count)
-        z = _design(p) @ train(p, post, count)
-        q = np.exp(z - z.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        rows = [(r["pattern"], KINDS[int(k)], round(float(q[i, k]), 4)) for i, (r, k) in enumerate(zip(counted, q.argmax(1), strict=True)) if k]
-    decided = spark.createDataFrame(rows, "pattern array<int>, kind string, confidence double")
-    return found.join(F.broadcast(decided), "pattern").select("doc_id", "begin", "end", "kind", "confidence").distinct()
+    decided = docs.sparkSession.createDataFrame(decisions(found), "pattern array<int>, kind string, confidence double")
+    return found.where("doc_id is not null").join(F.broadcast(decided), "pattern").select("doc_id", "begin", "end", "kind", "confidence").distinct()
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each decided span replaced by its kind in brackets, n_chars (where there) counted anew; same columns.
 
-    Rows without spans, those with a null id or text among them, are unchanged.  Where
-    several texts share an id, a span is cut from each that is long enough; keep ids unique.
+    Every row is redacted by its own text, whatever its id: null and repeated ids are no matter.
     """
-    key, col = fresh(docs, "__id"), fresh(docs, "__spans")
-    cut = spans(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "kind"))).alias(col)).withColumnRenamed("doc_id", key)
-    put = lambda a, s: F.concat(a["out"], F.substring("text", a["at"] + 1, s["begin"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))
-    text = F.concat(
-        F.aggregate(col, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, s: F.struct(put(a, s).alias("out"), s["end"].alias("at")), lambda a: a["out"]),
-        F.substring("text", F.element_at(F.col(col), -1)["end"] + 1, F.length("text")),
-    )
-    joined = docs.join(cut, docs["doc_id"].cast("long") == F.col(key), "left")
-    changed = F.col(key).isNotNull() & F.col("text").isNotNull()
-    out = joined.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+    kinds = {tuple(p): k for p, k, _ in decisions(candidates(docs))}
+
+    def put(text: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else _redacted(t, kinds) for t in text.to_pylist()], pa.string())
+
+    key = fresh(docs, "__text")
+    out = docs.withColumn(key, F.arrow_udf(put, "string")("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(key).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(key).cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("text", F.col(key)).select(*docs.columns)
+
+
+def _redacted(text: str, kinds: dict[tuple[int, ...], str]) -> str:
+    def one(m: re.Match) -> str:
+        v, f = votes(m.group(), text[max(0, m.start() - 40) : m.start()])
+        kind = kinds.get((*v, *f))
+        return f"[{kind}]" if kind else m.group()
+
+    return CANDIDATE.sub(one, text) if _MAY_HOLD.search(text) else text
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -103,6 +103,16 @@ def test_pii_spans_and_redaction(spark):
     assert out[3]["text"] == text[3] and 'token = "[secret]" thx' in out[2]["text"]
 
 
+def test_rows_are_redacted_by_their_own_text(spark):
+    rnd = random.Random(5)
+    rows = [row(i, f"{prose(rnd, 8)} write to bob{i}@mail.example.com today") for i in range(40)]
+    rows += [row(None, "mine is carol@mail.example.com here"), row(7, "quite clean, nothing to hide in this longer text, which shares the id of another row")]
+    out = [(r["doc_id"], r["text"], r["n_chars"]) for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert (None, "mine is [email] here", 20) in out
+    assert (7, rows[-1][1], len(rows[-1][1])) in out
+    assert len(out) == 42 and not any("@" in t for _, t, _ in out)
+
+
 def test_em_finds_the_reliable_labeler():
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 2, 4000)
