@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[0-9A-Za-z_\x{C0}-\x{1FFF}\x{2C00}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+_held: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,17 +41,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    _held[out] = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote and nothing reads any more; others are left alone."""
+    for t in tables:
+        path = None if t is None else _held.pop(t, None)
+        if path in _made:
+            delete_path(_made.pop(path), path)
 
 
 def drop_scratch() -> None:
     """Delete the tables that ``materialise`` wrote; results that still read them become unreadable."""
     while _made:
-        spark, path = _made.pop()
+        path, spark = _made.popitem()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete_path(spark, path)
         except Exception:  # the session has ended: the cluster clears its folder
             return
 
@@ -57,6 +74,11 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """The type of a column as DDL; ids keep the type they come in."""
+    return df.schema[column].dataType.simpleString()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -1,11 +1,13 @@
 """SimHash near-dedup: every pair of distinct fingerprints is compared, tile by tile.
 
-A fingerprint has 128 bits over the set of words longer than four bytes (of all
-words where fewer than eight are).  Tiles hold fingerprints of neighbouring
-population counts; since the counts of two fingerprints differ by at most their
-distance, tile pairs, and rows within a pair, whose counts differ by more than the
-radius are skipped.  The comparison is exact, hence quadratic in the number of
-*distinct* fingerprints; equal fingerprints are grouped first and count once.
+A fingerprint has 128 bits over all words of the whole text: each distinct word, again
+where it comes 2, 4, 8... times, and each distinct pair of neighbouring words at a
+quarter of a word's weight, so that counts and order are read too.  Tiles hold
+fingerprints of neighbouring population counts; since the counts of two fingerprints
+differ by at most their distance, tile pairs, and rows within a pair, whose counts
+differ by more than the radius are skipped.  The comparison is exact, hence quadratic
+in the number of *distinct* fingerprints; equal fingerprints are grouped first and
+count once.
 """
 
 from __future__ import annotations
@@ -18,61 +20,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, materialise, mix, words
+from .common import chunks, discard, fresh, materialise, mix, type_of, words
 
-RADIUS = 20
-MIN_LONG, LONG_BYTES = 8, 4
-TILE, MAX_TILE, TILES = 32768, 262144, 64
+RADIUS = 22
+WORD_WEIGHT, PAIR_WEIGHT = 4, 1
+TILE, MAX_TILE, TILES, PARTITIONS = 32768, 262144, 64, 1 << 14
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def fingerprints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 2) uint64 fingerprints of a text column, and which texts have one (those with a word)."""
-    w = words(col)
-    n = len(w.ptr) - 1
-    out = np.zeros((n, 2), np.uint64)
-    doc = w.doc
-    order = np.lexsort((w.hashes, doc))
-    doc, h, long = doc[order], w.hashes[order], (w.ends - w.starts)[order] > LONG_BYTES
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    doc, h, long = doc[keep], h[keep], long[keep]
-    some = np.bincount(doc[long], minlength=n) >= MIN_LONG
-    keep = long | ~some[doc]
-    doc, h = doc[keep], h[keep]
-    count = np.bincount(doc, minlength=n)
+def _sorted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, value) rows in order, and how often a value has come in its text so far."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
+    return doc, h, np.arange(len(h)) - np.repeat(head, np.diff(np.append(head, len(h)))) + 1
+
+
+def _tally(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """For each text and bit: features with the bit less those without; features are sorted by text."""
+    out = np.zeros((n, 128), np.int32)
     if not len(h):
-        return out, count > 0
-    begin = np.concatenate(([0], np.cumsum(count)))
-    within = np.arange(len(h)) - begin[doc]
+        return out
+    count = np.bincount(doc, minlength=n)
+    within = np.arange(len(h)) - np.concatenate(([0], np.cumsum(count)))[doc]
     cut = np.flatnonzero(within % 255 == 0)  # at most 255 features fit a byte-wide counter
     bits = np.empty((len(h), 2), np.uint64)
     bits[:, 0], bits[:, 1] = mix(h), mix(h + np.uint64(0x9E3779B97F4A7C15))
-    lanes = np.add.reduceat(_SPREAD[bits.view(np.uint8)], cut, axis=0)
-    part = lanes.view(np.uint8).astype(np.int32)
+    lanes = np.add.reduceat(_SPREAD[bits.view(np.uint8)], cut, axis=0).view(np.uint8).astype(np.int32)
     owner = doc[cut]
     head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    total = np.add.reduceat(part, head, axis=0)
-    who = owner[head]
-    out[who] = np.packbits(total * 2 > count[who][:, None], axis=1).view(np.uint64)
-    return out, count > 0
+    out[owner[head]] = 2 * np.add.reduceat(lanes, head, axis=0)
+    return out - count[:, None].astype(np.int32)
+
+
+def fingerprints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 2) uint64 fingerprints of a text column, and which texts have one (those with a word)."""
+    w = words(col)
+    n = len(w.ptr) - 1
+    some = np.diff(w.ptr) > 0
+    if not len(w.hashes):
+        return np.zeros((n, 2), np.uint64), some
+    doc, h, times = _sorted(w.doc, w.hashes)
+    keep = (times & (times - 1)) == 0
+    total = WORD_WEIGHT * _tally(doc[keep], mix(h[keep] + times[keep].astype(np.uint64) * np.uint64(0x517CC1B727220A95)), n)
+    at = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+    if len(at):
+        doc, h, times = _sorted(w.doc[at], mix(w.hashes[at] * np.uint64(0x9E3779B97F4A7C15) + w.hashes[at + 1]))
+        total += PAIR_WEIGHT * _tally(doc[times == 1], h[times == 1], n)
+    return np.packbits(total > 0, axis=1).view(np.uint64), some
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2 of every document that has an id and a word."""
+    """doc_id, a hash of the text, h1, h2 of every row with a word; equal texts of one id are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             fp, ok = fingerprints(b.column("text"))
-            ids = b.column("doc_id").filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(fp[ok, i].view(np.int64)) for i in (0, 1))], ["doc_id", "h1", "h2"])
+            kept = [b.column(c).filter(pa.array(ok)) for c in ("doc_id", "body")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(fp[ok, i].view(np.int64)) for i in (0, 1))], ["doc_id", "body", "h1", "h2"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("body"), "text").where("text is not null")
+    return rows.mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, body long, h1 long, h2 long")
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
-    """For tiles of (h1, h2, popcount) sorted by popcount: the smallest row linked with each row, by transitive closure.
+def compare(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For tiles of (h1, h2, popcount, documents) sorted by popcount: the smallest row linked with each row, by transitive closure, and the documents within the radius of each.
 
     Rows of ``b`` (None: ``a`` with itself) follow those of ``a`` in the numbering.
     """
@@ -80,6 +92,7 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
     b = a if own else b
     base = 0 if own else len(a[0])
     label = np.arange(len(a[0]) + (0 if own else len(b[0])))
+    links = np.zeros(len(label), np.int64)
     lo = np.searchsorted(b[2], a[2] - radius, side="left")
     hi = np.searchsorted(b[2], a[2] + radius, side="right")
     b1, b2 = b[0], b[1]
@@ -94,21 +107,23 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
         if d.min() > radius:
             continue
         near = np.flatnonzero(d <= radius)
-        near = near[d[near] + np.bitwise_count(b2[s:e][near] ^ a[1][i]) <= radius]
+        near = s + near[d[near] + np.bitwise_count(b2[s:e][near] ^ a[1][i]) <= radius]
         if len(near):
-            links = np.unique(np.append(label[base + s + near], label[i]))
-            if len(links) > 1:
-                label[np.isin(label, links[1:])] = links[0]
-    return label
+            links[i] += b[3][near].sum()
+            links[base + near] += a[3][i]
+            one = np.unique(np.append(label[base + near], label[i]))
+            if len(one) > 1:
+                label[np.isin(label, one[1:])] = one[0]
+    return label, links
 
 
-def _tiles(sig: DataFrame, radius: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Distinct fingerprints with their tile, and the pairs of tiles to compare.
+def _tiles(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their tile, and the table of tiles (tile, least and greatest population count, and of the first half).
 
     Collected: one count for each pair of half population counts, 65 x 65 rows at any input size.
     """
-    spark = sig.sparkSession
-    cells = sig.groupBy("p1", "p2").count().collect()
+    spark = nodes.sparkSession
+    cells = nodes.groupBy("p1", "p2").count().collect()
     n = sum(r["count"] for r in cells)
     size = min(MAX_TILE, max(TILE, n // TILES))
     rows, box, fill = [], [], size
@@ -120,31 +135,42 @@ def _tiles(sig: DataFrame, radius: int) -> tuple[DataFrame, list[tuple[int, int]
         fill += count
         box[-1] = [box[-1][0], p, min(box[-1][2], p1), max(box[-1][3], p1)]
         rows.append((p1, p - p1, len(box) - parts, parts))
-    gap = lambda a, b, k: max(0, a[k] - b[k + 1], b[k] - a[k + 1])
-    pairs = [(i, j) for i in range(len(box)) for j in range(i, len(box)) if max(gap(box[i], box[j], 0), gap(box[i], box[j], 2)) <= radius]
     at = spark.createDataFrame(rows, "p1 int, p2 int, first int, parts int")
-    tiled = sig.join(F.broadcast(at), ["p1", "p2"]).select((F.col("first") + F.pmod(F.xxhash64("h1", "h2"), F.col("parts"))).cast("int").alias("tile"), "h1", "h2", "rep", (F.col("p1") + F.col("p2")).alias("p"))
-    return tiled, pairs
+    number = (F.col("first") + F.pmod(F.xxhash64("h1", "h2"), F.col("parts"))).cast("int")
+    tiled = nodes.join(F.broadcast(at), ["p1", "p2"]).select(number.alias("tile"), "node", "h1", "h2", "n", (F.col("p1") + F.col("p2")).alias("p"))  # 65 x 65 rows
+    return tiled, spark.createDataFrame([(k, *x) for k, x in enumerate(box)], "tile long, lo int, hi int, lo1 int, hi1 int")
 
 
-def _edges(sig: DataFrame, radius: int) -> DataFrame:
-    """(u, v): v the smallest representative linked with u within a tile pair."""
-    spark = sig.sparkSession
-    tiled, pairs = _tiles(sig, radius)
-    table = spark.createDataFrame([(k, i, j) for k, (i, j) in enumerate(pairs)], "pair int, i int, j int")
-    side = lambda c: tiled.join(table.select("pair", F.col(c).alias("tile"), "i", "j"), "tile").select("pair", F.lit(c).alias("side"), "h1", "h2", "rep", "p", "i", "j")
-    rows = side("i").union(side("j").where("i < j")).drop("i", "j")
+def tile_pairs(tiles: DataFrame, radius: int, most: int = PARTITIONS) -> tuple[DataFrame, int]:
+    """(slot, i, j) of the tile pairs that can hold a link, and the number of partitions; the slots hash to one partition each, evenly."""
+    spark, t = tiles.sparkSession, tiles.count()
+    n = min(most, t * (t + 1) // 2)
+    b = tiles.toDF("j", "lo_", "hi_", "lo1_", "hi1_")
+    gap = lambda lo, hi: F.greatest(F.col(f"{lo}_") - F.col(hi), F.col(lo) - F.col(f"{hi}_"))
+    pairs = tiles.withColumnRenamed("tile", "i").withColumn("j", F.explode(F.sequence("i", F.lit(t - 1)))).join(b, "j").where((gap("lo", "hi") <= radius) & (gap("lo1", "hi1") <= radius))
+    pairs = pairs.select(F.pmod(F.expr("j * (j + 1) div 2 + i"), F.lit(n)).alias("part"), "i", "j")
+    slots = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).cast("long").alias("part")).agg(F.min("id").alias("slot"))
+    return pairs.join(slots, "part", "left").select(F.coalesce("slot", "part").alias("slot"), "i", "j"), n
+
+
+def _near(nodes: DataFrame, radius: int) -> DataFrame:
+    """(u, v, links): within a tile pair, v the smallest node linked with u (u itself where none is), and the documents within the radius of u."""
+    tiled, tiles = _tiles(nodes)
+    pairs, n = tile_pairs(tiles, radius)
+    side = lambda c: tiled.join(pairs, tiled["tile"] == pairs[c]).select("slot", "i", "j", F.lit(c).alias("side"), "node", "h1", "h2", "n", "p")
+    rows = side("i").union(side("j").where("i < j"))
 
     def run(t: pa.Table) -> pa.Table:
         second = pc.equal(t.column("side"), "j").to_numpy(zero_copy_only=False)
-        h1, h2, p, ids = (t.column(c).to_numpy() for c in ("h1", "h2", "p", "rep"))
-        order = np.argsort(p + 1000 * second, kind="stable")
-        h1, h2, p, ids, n = h1.view(np.uint64)[order], h2.view(np.uint64)[order], p[order].astype(np.int64), ids[order], int((~second).sum())
-        label = compare((h1[:n], h2[:n], p[:n]), (h1[n:], h2[n:], p[n:]) if second.any() else None, radius)
-        u = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"u": ids[u], "v": ids[label[u]]})
+        h1, h2, p, count, node = (t.column(c).to_numpy() for c in ("h1", "h2", "p", "n", "node"))
+        order = np.lexsort((node, p, second))
+        h1, h2, p, count, node, k = h1.view(np.uint64)[order], h2.view(np.uint64)[order], p[order].astype(np.int64), count[order], node[order], int((~second).sum())
+        tile = lambda s: (h1[s], h2[s], p[s], count[s])
+        label, links = compare(tile(slice(0, k)), tile(slice(k, None)) if second.any() else None, radius)
+        u = np.flatnonzero(links)
+        return pa.table({"u": node[u], "v": node[label[u]], "links": links[u]})
 
-    return rows.repartition(max(1, len(pairs)), "pair").groupBy("pair").applyInArrow(run, "u long, v long")
+    return rows.repartition(max(1, n), "slot").groupBy("slot", "i", "j").applyInArrow(run, "u long, v long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,7 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = norm(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialise(norm(small), "edges")
+        old, edges = edges, materialise(norm(small), "edges")
+        discard(old)
         now = mark(edges)
         if now == seen:
             break
@@ -167,32 +194,63 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _members(sig: DataFrame, radius: int) -> DataFrame:
+    """(doc_id, body, group_id, links, kept) of every signature whose group has two documents or more."""
+    pop = lambda c: F.bit_count(c).cast("int")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body"))
+    same = sig.groupBy("h1", "h2").agg(head.alias("head"), F.count("*").alias("n"))
+    nodes = materialise(same.withColumns({"p1": pop("h1"), "p2": pop("h2"), "node": F.monotonically_increasing_id()}), "distinct")
+    near = materialise(_near(nodes, radius), "near")
+    stars = components(near.select("u", "v"))
+    linked = near.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    known = nodes.join(linked, "node", "left").join(stars.select(F.col("u").alias("node"), "v"), "node", "left").where("links > 0 or n > 1").withColumn("v", F.coalesce("v", "node"))
+    first = known.groupBy("v").agg(F.min("head").alias("first"))
+    known = known.join(first, "v").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "first")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body"))
+    out = materialise(sig.join(known, ["h1", "h2"]).select("doc_id", "body", F.col("first.doc_id").alias("group_id"), "links", kept.alias("kept")), "members")
+    discard(nodes, near, stars)
+    return out
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, group_id, kept) for every document with a near copy; group_id is the smallest doc_id of its group.
+    """(doc_id, group_id, links, kept) for every document with a near copy.
 
-    Groups are the connected components of "fingerprints within ``radius`` bits".
-    Rows whose id or text is null, and texts without a word, have no fingerprint and
-    never appear; a doc_id that comes twice with the same text is one document.
-    An empty table gives an empty result; other columns are ignored.
+    A document is a doc_id with a text: repeated rows of both are one, one id with two
+    texts is two.  ``links`` counts the other documents within ``radius`` bits, copies
+    included; groups are the connected components of such links, and group_id is the
+    smallest doc_id in the group (of an id with several texts, the same for the groups
+    that it heads).  One document of each group is kept: that of the smallest id, of its
+    texts that of the smallest hash.  Null texts and texts without a word have no
+    fingerprint and never appear; rows with a null id do, after all others.  Ids may be
+    of any type that can be ordered.  Whole texts are read, of any length.  An empty
+    table gives an empty result; other columns are ignored.
     """
-    sig = materialise(signatures(docs), "signatures")
-    pop = lambda c: F.bit_count(c).cast("int")
-    same = materialise(sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n")).withColumns({"p1": pop("h1"), "p2": pop("h2")}), "distinct")
-    # one document may carry several texts: its fingerprints are then joined through their representatives
-    stars = components(_edges(same, radius))
-    group = same.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("group_id")), "rep", "left")
-    group = group.withColumn("linked", F.col("group_id").isNotNull() | (F.col("n") > 1)).withColumn("group_id", F.coalesce("group_id", "rep"))
-    heads = stars.select(F.col("v").alias("rep"), F.lit(True).alias("head")).distinct()
-    group = group.join(heads, "rep", "left").where("linked or head").select("h1", "h2", "group_id")
-    out = sig.join(group, ["h1", "h2"]).select("doc_id", "group_id").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    return out.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    sig = materialise(signatures(docs).distinct(), "signatures")
+    out = _members(sig, radius)
+    discard(sig)
+    return out.select("doc_id", "group_id", "links", "kept")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents without all but one of each near-duplicate group; rows with a null id stay."""
-    key = fresh(docs, "__gone")
-    gone = near_duplicates(docs, radius).where("not kept").select(F.col("doc_id").alias(key))
-    return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
+    """The documents without all but one of each near-duplicate group; all their columns.
+
+    Documents are told apart by id and text as in ``near_duplicates``, rows with a null
+    id too; of a document that is kept and comes several times one row stays.  Null
+    texts and texts without a word stay, repeated or not; an empty table stays empty.
+    """
+    rows = materialise(signatures(docs), "rows")
+    sig = materialise(rows.distinct(), "signatures")
+    body, gone_id, gone_body = (fresh(docs, x) for x in ("__body", "__gone_id", "__gone_body"))
+    gone = _members(sig, radius).where("not kept").select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body))
+    hashed = docs.withColumn(body, F.xxhash64("text"))
+    same = lambda i, b: hashed["doc_id"].eqNullSafe(F.col(i)) & (hashed[body] == F.col(b)) & hashed["text"].isNotNull()
+    left = hashed.join(gone, same(gone_id, gone_body), "left_anti")
+    again = materialise(rows.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body)), "repeated")
+    discard(rows, sig)
+    if not again.isEmpty():
+        twice = left.join(again, same(gone_id, gone_body), "left_semi").dropDuplicates(["doc_id", body])
+        left = left.join(again, same(gone_id, gone_body), "left_anti").unionByName(twice)
+    return left.drop(body)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import simhash, substring
 
@@ -10,22 +12,21 @@ from .conftest import SCHEMA, prose, row
 
 
 def groups_by_force(rows, radius):
-    ids = sorted({i for i, _ in rows})
-    fp, ok = simhash.fingerprints(pa.array([t for _, t in rows]))
-    parent = {i: i for i in ids}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    linked = set()
-    for a, b in combinations([k for k in range(len(rows)) if ok[k]], 2):
-        if np.bitwise_count(fp[a] ^ fp[b]).sum() <= radius and rows[a][0] != rows[b][0]:
-            linked |= {rows[a][0], rows[b][0]}
-            x, y = find(rows[a][0]), find(rows[b][0])
-            parent[max(x, y)] = min(x, y)
-    return {(i, find(i)) for i in linked}
+    """(id, text) -> (group, links, kept) of every document that has a near copy; a document is an id with a text."""
+    docs = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    fp, ok = simhash.fingerprints(pa.array([t for _, t in docs], pa.string()))
+    docs, fp = [d for d, k in zip(docs, ok, strict=True) if k], fp[ok]
+    near = [[b for b in range(len(docs)) if b != a and np.bitwise_count(fp[a] ^ fp[b]).sum() <= radius] for a in range(len(docs))]
+    out, seen = {}, set()
+    for a in range(len(docs)):
+        if a in seen or not near[a]:
+            continue
+        group, todo = {a}, [a]
+        while todo:
+            todo = [y for x in todo for y in near[x] if y not in group and not group.add(y)]
+        seen |= group
+        out |= {docs[x]: (docs[a][0], len(near[x]), docs[x][0] == docs[a][0]) for x in group}
+    return out
 
 
 def corpus(seed=5):
@@ -42,13 +43,46 @@ def corpus(seed=5):
     return list(enumerate(out))
 
 
-def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("partitions", [1 << 14, 5])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, partitions):
     monkeypatch.setattr(simhash, "TILE", 16)  # many tiles, cells that are split among them
     monkeypatch.setattr(simhash, "MAX_TILE", 16)
+    monkeypatch.setattr(simhash.tile_pairs, "__defaults__", (partitions,))
     rows = corpus()
     got = simhash.near_duplicates(spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA)).collect()
-    assert {(r["doc_id"], r["group_id"]) for r in got} == groups_by_force(rows, simhash.RADIUS)
-    assert all(r["kept"] == (r["doc_id"] == r["group_id"]) for r in got)
+    want = groups_by_force(rows, simhash.RADIUS)
+    assert {r["doc_id"]: (r["group_id"], r["links"], r["kept"]) for r in got} == {i: v for (i, _), v in want.items()} and len(got) == len(want) > 50
+
+
+def test_tile_pairs_fill_their_partitions(spark):
+    tiles = spark.createDataFrame([(k, 60, 68, 20, 40) for k in range(12)], "tile long, lo int, hi int, lo1 int, hi1 int")
+    pairs, n = simhash.tile_pairs(tiles, 22)
+    rows = pairs.repartition(n, "slot").select(F.spark_partition_id(), "i", "j").collect()
+    assert n == 78 and {(i, j) for _, i, j in rows} == {(i, j) for i in range(12) for j in range(i, 12)} and len({p for p, _, _ in rows}) == 78
+    far = spark.createDataFrame([(0, 10, 20, 5, 10), (1, 43, 50, 5, 10)], "tile long, lo int, hi int, lo1 int, hi1 int")
+    assert {(r["i"], r["j"]) for r in simhash.tile_pairs(far, 22)[0].collect()} == {(0, 0), (1, 1)}
+
+
+def test_ids_with_several_texts_lose_none(spark):
+    rnd = random.Random(21)
+    a, b, c = (prose(rnd, 80) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, c), (8, c), (None, c), (None, prose(rnd, 60)), (9, None), (9, None), (10, "!!"), (10, "!!")]
+    docs = spark.createDataFrame([row(*x) for x in rows], SCHEMA)
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).where("doc_id is not null and doc_id < 9").collect())
+    assert got == sorted([(1, a), (5, b), (8, c)])
+    assert simhash.keep_one(docs).where("doc_id is null or doc_id >= 9").count() == 5
+    text = docs.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(text).where("doc_id < 'doc-9' and doc_id <> 'doc-10'").collect()) == ["doc-1", "doc-5", "doc-8"]
+    assert {r["group_id"] for r in simhash.near_duplicates(text).collect()} == {"doc-1", "doc-5", "doc-8"}
+
+
+def test_every_word_counts():
+    rnd = random.Random(22)
+    words = prose(rnd, 60).split()
+    base = " ".join([*words[:20], "it is not so in 2019", *words[20:]])
+    others = [base.replace(" not ", " now "), base.replace("2019", "1754"), " ".join(reversed(base.split())), base + " it is it is it is", base.replace(" so ", " ")]
+    fp, _ = simhash.fingerprints(pa.array([base, *others, base.upper()]))
+    assert all((fp[0] != x).any() for x in fp[1:-1]) and (fp[0] == fp[-1]).all()
 
 
 def test_edited_copies_share_a_group(spark):
@@ -80,10 +114,10 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
-    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(awkward).collect()}
-    assert got == {1: 1, 2: 1, 3: 1}
+    got = [(r["doc_id"], r["group_id"], r["links"], r["kept"]) for r in simhash.near_duplicates(awkward).collect()]
+    assert sorted(got, key=str) == [(1, 1, 3, True), (2, 1, 3, False), (3, 1, 3, False), (None, 1, 3, False)]
     kept = simhash.keep_one(awkward)
-    assert kept.columns == awkward.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7, 8, 9, 10]
+    assert kept.columns == awkward.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 9, 10]
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 

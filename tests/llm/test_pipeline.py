@@ -18,7 +18,7 @@ def test_pipeline_by_force(spark, tmp_path):
     ids = sorted(rows)
     keep = model.score(quality.statistics(pa.array([rows[i] for i in ids]))) >= 0.5
     left = [(i, rows[i]) for i, k in zip(ids, keep, strict=True) if k]
-    gone = {i for i, g in groups_by_force(left, simhash.RADIUS) if i != g}
+    gone = {i for (i, _), (_, _, kept) in groups_by_force(left, simhash.RADIUS).items() if not kept}
     left = [(i, t) for i, t in left if i not in gone]
     items = [r["text"].lower().split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     plain = lambda w: " " + " ".join(w) + " "
