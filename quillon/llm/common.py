@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[0-9A-Za-z_\x{C0}-\x{1FFF}\x{2C00}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
 
@@ -79,6 +80,27 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, positive: int) -> DataFrame:
+    """(id, text, y): labelled documents, ``most`` rows at most, those of the smallest id hashes; id is a hash.
+
+    A label that names no document with a text is no row; of the texts of one id that of the
+    smallest hash counts, once; of contradicting labels ``positive`` (0 or 1).
+    """
+    label = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).select(F.xxhash64(F.col("doc_id").cast("string")).alias("id"), F.col(column).cast("double").alias("y"))
+    label = label.groupBy("id").agg((F.max if positive else F.min)("y").alias("y"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("string")).alias("id"), F.xxhash64("text").alias("body"), "text")
+    there = rows.select("id", "body").join(label, "id").groupBy("id").agg(F.min("body").alias("body"), F.first("y").alias("y"))
+    sample = there.orderBy("id").limit(most)
+    return rows.join(F.broadcast(sample), ["id", "body"]).dropDuplicates(["id"]).select("id", "text", "y")  # a sample of ``most`` rows
+
+
+def even_slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number (a bigint) that ``repartition(n, ...)`` puts there: hashing 0 to n - 1 would leave a third of them empty."""
+    found = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("slot")).collect()
+    slots = {r["part"]: r["slot"] for r in found}
+    return [slots.get(k, k) for k in range(n)]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -2,10 +2,12 @@
 
 Items are the indexed documents, every passage of every training text is a query.
 Impacts are BM25 divided by the item's score for its own words, so that one
-threshold in (0, 1] serves all items.  For a passage, three bounds are tried in turn,
-each only where the one before it reaches the threshold: the sum of its terms'
-largest impacts, the sum of their largest impacts in each block of items, and the
-exact scores of the items in the blocks left.
+threshold in (0, 1] serves all items.  Two vectorised bounds rule out most passages of a
+batch: the sum of their terms' largest impacts, and the sum of their largest impacts in
+each range of items.  The rest run block-max WAND: a cursor on the posting list of each
+term, a pivot where the terms' largest impacts may reach the threshold, blocks of
+postings skipped where their own largest impacts may not, and exact scores at the pivots
+left.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import chunks, fresh, grams, hash_words, member, sieve, words
+from .common import chunks, grams, hash_words, member, sieve, type_of, words
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.6
-GRAM, PASSAGE, BLOCK, BLOCKS = 3, 64, 8, 64
+GRAM, PASSAGE, BLOCK, RANGES = 3, 64, 8, 64
 SHARD_BYTES = 16 << 20
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+COLUMNS = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -47,15 +50,17 @@ def split_item(text: str) -> tuple[str, str]:
 
 @dataclass
 class Index:
-    ids: np.ndarray
+    ids: list
     terms: np.ndarray  # sorted word hashes
     sieve: np.ndarray
     ptr: np.ndarray  # postings of each term
     item: np.ndarray
     impact: np.ndarray
     top: np.ndarray  # largest impact of each term
-    blocks: np.ndarray  # ... in each block of items
-    block_size: int
+    ranges: np.ndarray  # ... in each of at most RANGES ranges of items
+    block_ptr: np.ndarray  # blocks of BLOCK postings of each term
+    block_last: np.ndarray  # the last item of each block
+    block_top: np.ndarray  # the largest impact in it
     half: int  # a passage is two neighbouring runs of so many words
     parts: list[tuple[np.ndarray, np.ndarray]]  # hashed words of question and answer
 
@@ -64,11 +69,11 @@ def _sequences(h: np.ndarray) -> np.ndarray:
     return np.unique(grams(h, min(GRAM, max(1, len(h)))))
 
 
-def build(items: list[tuple[int, str]], df: dict[int, int] | None = None, total: int | None = None, half: int = PASSAGE, avg: float | None = None) -> Index:
+def build(items: list[tuple[object, str]], df: dict[int, int] | None = None, total: int | None = None, half: int = PASSAGE, avg: float | None = None) -> Index:
     """The index of items with a word; df, total and avg (words an item): over all shards of items, where there are several."""
     hashed = [h for h in hash_words([t for _, t in items])]
     full = [k for k, h in enumerate(hashed) if len(h)]
-    ids = np.array([items[k][0] for k in full], np.int64)
+    ids = [items[k][0] for k in full]
     hashed = [hashed[k] for k in full]
     size = np.array([len(h) for h in hashed], float)
     pairs = [np.unique(h, return_counts=True) for h in hashed]
@@ -84,26 +89,63 @@ def build(items: list[tuple[int, str]], df: dict[int, int] | None = None, total:
     impact /= np.bincount(item, impact, len(ids))[item] if len(item) else 1
     order = np.lexsort((item, term))
     term, item, impact = term[order], item[order], impact[order]
-    block_size = max(BLOCK, -(-len(ids) // BLOCKS))
-    blocks = np.zeros((len(terms), max(1, -(-len(ids) // block_size))), np.float32)
-    np.maximum.at(blocks, (term, item // block_size), impact.astype(np.float32) * np.float32(1.000001))
     ptr = np.searchsorted(term, np.arange(len(terms) + 1))
+    width = max(BLOCK, -(-len(ids) // RANGES))
+    ranges = np.zeros((len(terms), max(1, -(-len(ids) // width))), np.float32)
+    np.maximum.at(ranges, (term, item // width), impact.astype(np.float32) * np.float32(1.000001))
+    size_of = -(-np.diff(ptr) // BLOCK)
+    block_ptr = np.concatenate(([0], np.cumsum(size_of)))
+    heads = np.repeat(ptr[:-1] - block_ptr[:-1] * BLOCK, size_of) + np.arange(block_ptr[-1]) * BLOCK
+    block_top = np.maximum.reduceat(impact, heads) if len(heads) else np.zeros(0)
+    block_last = item[np.minimum(heads + BLOCK, np.repeat(ptr[1:], size_of)) - 1] if len(heads) else np.zeros(0, np.int64)
+    top = np.maximum.reduceat(impact, ptr[:-1]) if len(terms) else np.zeros(0)
     cut = [hash_words(list(split_item(items[k][1]))) for k in full]
     parts = [(q, a) for q, a in cut]
-    return Index(ids, terms, sieve(terms), ptr, item, impact, blocks.max(1, initial=0), blocks, block_size, max(half, int(size.max(initial=0))), parts)
+    return Index(ids, terms, sieve(terms), ptr, item, impact, top, ranges, block_ptr, block_last, block_top, max(half, int(size.max(initial=0))), parts)
 
 
 def retrieve(ix: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """Items scoring at least ``threshold`` for the distinct terms of a passage: block bounds, then exact scores."""
-    ok = np.flatnonzero(ix.blocks[terms].sum(0) >= threshold)
-    if not len(ok):
-        return []
-    n = ix.ptr[terms + 1] - ix.ptr[terms]
-    at = np.repeat(ix.ptr[terms] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    item = ix.item[at]
-    use = np.isin(item // ix.block_size, ok)
-    score = np.bincount(item[use], ix.impact[at[use]], len(ix.ids))
-    return [(int(i), float(score[i])) for i in np.flatnonzero(score >= threshold - 1e-12)]
+    """(item, score) of all items scoring at least ``threshold`` for the distinct terms of a passage: block-max WAND."""
+    out: list[tuple[int, float]] = []
+    theta = threshold - 1e-12
+    # a cursor: current item, place in the postings, their end, largest impact, first block, block after the last
+    live = [[int(ix.item[ix.ptr[t]]), int(ix.ptr[t]), int(ix.ptr[t + 1]), float(ix.top[t]), int(ix.block_ptr[t]), int(ix.block_ptr[t + 1]), int(ix.ptr[t])] for t in terms.tolist()]
+
+    def seek(c: list, item: int) -> None:
+        """Move a cursor to its first posting of ``item`` or a later one; blocks before it are not read."""
+        block = c[4] + int(np.searchsorted(ix.block_last[c[4] : c[5]], item))
+        lo = max(c[1], c[6] + (block - c[4]) * BLOCK)
+        hi = min(c[2], lo + BLOCK)
+        c[1] = lo + int(np.searchsorted(ix.item[lo:hi], item))
+        c[0] = int(ix.item[c[1]]) if c[1] < c[2] else -1
+
+    while live:
+        live.sort()
+        bound, p = 0.0, 0
+        while p < len(live) and (bound := bound + live[p][3]) < theta:
+            p += 1
+        if p == len(live):
+            break
+        pivot = live[p][0]
+        while p + 1 < len(live) and live[p + 1][0] == pivot:
+            p += 1
+        at = [c[4] + int(np.searchsorted(ix.block_last[c[4] : c[5]], pivot)) for c in live[: p + 1]]
+        near = [(c, b) for c, b in zip(live, at, strict=False) if b < c[5]]
+        if sum(float(ix.block_top[b]) for _, b in near) < theta:
+            after = [int(ix.block_last[b]) + 1 for _, b in near] + [c[0] for c in live[p + 1 : p + 2]]
+            target = max(pivot + 1, min(after, default=pivot + 1))
+        elif live[0][0] == pivot:
+            score = sum(float(ix.impact[c[1]]) for c in live[: p + 1])
+            if score >= theta:
+                out.append((pivot, score))
+            target = pivot + 1
+        else:
+            target = pivot
+        for c in live[: p + 1]:
+            if c[0] < target:
+                seek(c, target)
+        live = [c for c in live if c[0] >= 0]
+    return out
 
 
 def edits(want: np.ndarray, passage: np.ndarray) -> int:
@@ -160,8 +202,8 @@ def scan(ix: Index, col: pa.Array, threshold: float, overlap: float) -> list[tup
         return []
     known, run = known[sub], run[sub]
     head = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    bound = np.zeros((first[-1], ix.blocks.shape[1]), np.float32)
-    bound[run[head]] = np.add.reduceat(ix.blocks[vid[known]], head, axis=0)
+    bound = np.zeros((first[-1], ix.ranges.shape[1]), np.float32)
+    bound[run[head]] = np.add.reduceat(ix.ranges[vid[known]], head, axis=0)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     for s in np.flatnonzero(hopeful & (paired(bound).max(1) >= threshold)):
         d = int(np.searchsorted(first, s, side="right")) - 1
@@ -175,23 +217,14 @@ def scan(ix: Index, col: pa.Array, threshold: float, overlap: float) -> list[tup
     return [(d, i, *v) for (d, i), v in best.items()]
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) for every text holding a benchmark item.
-
-    Passages are runs of 2h words every h words, h the longest item and 64 at least, so
-    each item fits in one.  Items are broadcast when their texts have ``shard_bytes`` or
-    less; beyond, they are hashed into shards of that size, each broadcast for a pass of
-    its own, under counts over all items.  Rows with a null id or text and items without
-    a word match nothing; of repeated rows the best match counts; empty tables give an
-    empty result; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+def shards(items: DataFrame, shard_bytes: int) -> Iterator[Index]:
+    """Indexes of all items: one where their texts have ``shard_bytes`` or less, else one for each hash class of that size, under counts over all items."""
+    spark = items.sparkSession
+    items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
-    shards = max(1, -(-size // shard_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    n = max(1, -(-size // shard_bytes))
     counts, half, total, avg = None, PASSAGE, None, None
-    if shards > 1:
+    if n > 1:
 
         def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches):
@@ -204,34 +237,65 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
         counts = seen.groupBy("term").agg(F.count("*").alias("df"))
         longest, total, avg = seen.where("n > 0").agg(F.max("n"), F.count("*"), F.avg("n")).collect()[0]
         half = max(half, longest or 0)
-    found = None
-    for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         held: list[Row] = part.orderBy("item_id", "text").collect()  # of shard_bytes at most
         df = None
         if counts is not None:
             here = np.unique(np.concatenate([np.zeros(0, np.uint64), *hash_words([r["text"] for r in held])])).view(np.int64)
             mine = spark.createDataFrame([(int(t),) for t in here], "term long")
             df = {r["term"]: r["df"] for r in counts.join(mine, "term", "left_semi").collect()}
-        ix = spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in held], df, total, half, avg))
+        yield build([(r["item_id"], r["text"]) for r in held], df, total, half, avg)
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) for every text holding a benchmark item.
+
+    Passages are runs of 2h words every h words, h the longest item and 64 at least, so
+    each item fits in one; texts of any length are read whole.  Items are broadcast when
+    their texts have ``shard_bytes`` or less; beyond, they are hashed into shards of that
+    size, each broadcast for a pass of its own, under counts over all items.  Rows with a
+    null id or text and items without a word match nothing; of several matches, or of
+    repeated rows of one id, the one of the best score counts; empty tables give an empty
+    result; other columns are ignored.  Ids may be of any type.
+    """
+    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    schema = f"doc_id {type_of(docs, 'doc_id')}, item_id {type_of(items, 'item_id')}, score double, question_overlap double, answer_overlap double"
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
+    found = None
+    for index in shards(items, shard_bytes):
+        ix = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches):
                 hits = scan(ix.value, b.column("text"), threshold, overlap)
-                ids = b.column("doc_id").to_numpy()
-                cols = [[int(ids[h[0]]) for h in hits], [int(ix.value.ids[h[1]]) for h in hits], *([h[c] for h in hits] for c in (2, 3, 4))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                ids = b.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([ix.value.ids[h[1]] for h in hits], item_type), *(pa.array([h[c] for h in hits], pa.float64()) for c in (2, 3, 4))], COLUMNS)
 
-        part = rows.mapInArrow(run, SCHEMA)
+        part = rows.mapInArrow(run, schema)
         found = part if found is None else found.union(part)
-    return found.groupBy("doc_id", "item_id").agg(*(F.round(F.max(c), 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(*COLUMNS[2:])).alias("best"))
+    return best.select("doc_id", "item_id", *(F.round(f"best.{c}", 6).alias(c) for c in COLUMNS[2:]))
+
 
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The documents that hold no item; all their columns.
+
+    Each row is judged by its own text, whatever its id, without a shuffle: rows with a
+    null id go when their texts hold an item, repeated rows all go or all stay, null and
+    empty texts stay; an empty table stays empty.
+    """
+    for index in shards(items, shard_bytes):
+        ix = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
+            for b in chunks(batches):
+                keep = np.ones(b.num_rows, bool)
+                keep[[h[0] for h in scan(ix.value, b.column("text"), threshold, overlap)]] = False
+                yield b.filter(pa.array(keep))
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item; rows with a null id or text stay."""
-    key = fresh(docs, "__bad")
-    bad = leaks(docs, items).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col(key), "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
