@@ -6,6 +6,7 @@ Trees are complete and flattened into arrays: node i of a tree has children 2i+1
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import chunks, mix, string_bytes, words
+from .common import chunks, labelled, mix, string_bytes, type_of, words
 
 MAX_TRAIN, TREES, DEPTH, BINS, RATE, LEAST, RIDGE = 20_000, 40, 4, 64, 0.2, 20, 1.0
 _CLASSES = ["upper", "lower", "digit", "blank", "line", "stop", "comma", "bar", "shout", "symbol", "wide"]
@@ -115,26 +115,34 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
-    """Fit on the labelled documents, at most ``max_train`` of them: those of the smallest id hashes."""
-    label = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("double").alias("__y"))
-    sample = label.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(sample), "__id")  # max_train rows at most
+    """Fit on the labelled documents, at most ``max_train`` of them: those of the smallest id hashes.
+
+    Repeated rows of an id, and repeated or contradicting labels (the lower counts), make
+    one row; rows with a null id, label or text, and labels without a document, make none
+    and do not use up ``max_train``.  An empty text is a row of zeros; texts of any length
+    are read whole; other columns are ignored.  Where nothing is left, or one class, the
+    model is a constant (nothing: keep all) and a warning is given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             x = statistics(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array(list(x.astype(float)), pa.list_(pa.float64()))], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(list(x.astype(float)), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    got = rows.select("__id", "text", "__y").mapInArrow(run, "id long, y double, x array<double>").toArrow()
+    got = labelled(docs, labels, "quality", max_train, 0).mapInArrow(run, "id long, y double, x array<double>").toArrow()
     y, x = got.column("y").to_numpy(), np.array(got.column("x").to_pylist(), np.float32).reshape(-1, len(FEATURES))
-    order = np.lexsort((*x.T, got.column("id").to_numpy()))
+    if len(np.unique(y)) < 2:
+        warnings.warn(f"{len(y)} labelled documents of {len(np.unique(y))} classes: the quality model is a constant", stacklevel=2)
+    order = np.argsort(got.column("id").to_numpy())
     return fit(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     """(doc_id, quality, kept) for each row: the model's probability, and whether it is 0.5 or more.
 
-    A null text counts as empty; a null id stays null; repeated rows get a row each.
+    A null text counts as empty; a null id stays null; repeated rows get a row each, equal
+    texts equal values; texts of any length are read whole; an empty table gives an empty
+    result; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -143,16 +151,20 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
             p = np.round(held.value.score(statistics(b.column("text"))), 6)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array(p >= 0.5)], ["doc_id", "quality", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, quality double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, quality double, kept boolean")
 
 
-def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier, trained on them and ``labels``, keeps; all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+def good_only(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The documents that the classifier, trained on them and ``labels``, keeps; all their columns.
+
+    Each row is judged by its own text, whatever its id: null ids and repeated rows are no
+    matter, and a null text counts as empty.  Without labelled documents all rows stay.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            yield b.filter(pa.array(held.value.score(statistics(b.column("text"))) >= 0.5))
+            yield b.filter(pa.array(np.round(held.value.score(statistics(b.column("text"))), 6) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
