@@ -9,17 +9,17 @@ weights of a list's terms are driven together, and to that of naming nobody.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import BYTE, POS, Words, chunks, materialise, member, mix, sieve, words
+from .common import BYTE, POS, Words, chunks, labelled, member, mix, sieve, type_of, words
 
-MAX_TRAIN, FEATURES, RIDGE, SWAP = 20_000, 4096, 1e-4, 1.0
+MAX_TRAIN, RIDGE, SWAP, SURE = 20_000, 1e-4, 1.0, 4.0
 #: Lists of interchangeable identity terms.
 IDENTITY = (
     ("person", "woman", "man", "transgender", "gay", "lesbian", "straight", "bisexual", "queer"),
@@ -88,7 +88,12 @@ def effects(pairs: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]
 
 
 def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple[np.ndarray, np.ndarray]], swap: float = SWAP, steps: int = 300) -> Linear:
-    """Logistic regression on (text, feature) pairs, classes of equal weight; a constant where there is one class."""
+    """Logistic regression on (text, feature) pairs, classes of equal weight; a constant where there is one class.
+
+    Every feature takes part, at a scale by the evidence that it differs between the
+    classes: the square of its z-score over ``SURE``, one at most, so that a word seen once
+    hardly moves the score however many such words there are.
+    """
     if len(np.unique(y)) < 2:
         return Linear(np.zeros(0, np.uint64), np.zeros(0), 20.0 if len(y) and y[0] else -20.0)
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -97,30 +102,38 @@ def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple
     row = np.array([i for i, t in enumerate(touched) for side in t for _ in side], np.int64)
     col = np.searchsorted(chosen, np.concatenate([np.zeros(0, np.uint64), *(x for t in touched for x in t)]))
     sign = np.array([s for t in touched for s, side in zip((1.0, -1.0), t, strict=True) for _ in side])
-    w, bias = np.zeros(len(chosen)), float(np.log(n1 / n0))
+    c, c1 = np.bincount(f, minlength=len(chosen)), np.bincount(f, y[doc], len(chosen))
+    p = c / len(y)
+    z = (c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    scale = np.minimum(1, (z / SURE) ** 2)
+    w, bias = np.zeros(len(chosen)), 0.0
     m1, m2, share = np.zeros(len(w) + 1), np.zeros(len(w) + 1), np.where(y > 0, 0.5 / n1, 0.5 / n0)
     for k in range(1, steps + 1):
-        r = (1 / (1 + np.exp(-(bias + np.bincount(doc, w[f], len(y))))) - y) * share
-        g = np.bincount(f, r[doc], len(w)) + RIDGE * w
+        v = scale * w
+        r = (1 / (1 + np.exp(-(bias + np.bincount(doc, v[f], len(y))).clip(-50, 50))) - y) * share
+        g = np.bincount(f, r[doc], len(w))
         if len(touched):
-            change = np.bincount(row, sign * w[col], len(touched))
+            change = np.bincount(row, sign * v[col], len(touched))
             g += 2 * swap / len(touched) * np.bincount(col, sign * change[row], len(w))
+        g = scale * g + RIDGE * w
         g = np.append(g, r.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = 0.1 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Linear(chosen, w, float(bias))
+    return Linear(chosen, scale * w, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity: tuple[tuple[str, ...], ...] = IDENTITY, swap: float = SWAP, size: int = FEATURES) -> Linear:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity: tuple[tuple[str, ...], ...] = IDENTITY, swap: float = SWAP) -> Linear:
     """Fit on the labelled documents, at most ``max_train`` of them: those of the smallest id hashes.
 
-    Features are counted by class in Spark; only the ``size`` most telling of them, and
-    those that swaps touch, are collected for each document.
+    All features of their whole texts count, and all their sentences that name a group are
+    swapped: what is collected is bounded by ``max_train`` documents.  Repeated rows of an
+    id, and repeated or contradicting labels (the higher counts), make one row; rows with a
+    null id, label or text, and labels without a document, make none and do not use up
+    ``max_train``.  An empty text is a row without features; other columns are ignored.
+    Where nothing is left, or one class, the model is a constant (nothing: not toxic) and a
+    warning is given.
     """
-    label = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("double").alias("__y"))
-    sample = label.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(sample), "__id")  # max_train rows at most
     named = re.compile(r"\b(?:" + "|".join(re.escape(t) for g in identity for t in g) + r")\b", re.I)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,39 +141,25 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identi
             d, h = features(words(b.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
             texts = ["\n".join(s for s in _SENTENCE.findall(t) if named.search(s)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), lists, pa.array(texts, pa.string())], ["id", "y", "h", "named"])
-
-    table = materialise(rows.select("__id", "text", "__y").mapInArrow(run, "id long, y double, h array<long>, named string"), "labelled")
-    n, n1 = table.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).collect()[0]
-    if n1 in (0, n):
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.full(n, float(n1 > 0)), [])
-    counted = table.select("y", F.explode("h").alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("*").alias("c")).where("c >= 3")
-    p = F.col("c") / n
-    z = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / (n - n1)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)))
-    telling = [r["f"] for r in counted.orderBy(F.desc(F.round(z, 9)), "f").limit(size).collect()]
-    touched = effects([x for r in table.where("named <> ''").orderBy("id").select("named").collect() for x in swaps(r["named"], identity)])
-    chosen = np.unique(np.concatenate([np.array(telling, np.int64).view(np.uint64), *(x for t in touched for x in t)]))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = sieve(chosen)
-        for b in batches:
-            at = member(b.column("h").flatten().to_numpy().view(np.uint64), chosen, bloom)
-            row = np.repeat(np.arange(b.num_rows), b.column("h").value_lengths().to_numpy())[at >= 0]
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)), pa.array(at[at >= 0].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), lists], ["id", "y", "f"])
-
-    got = table.select("id", "y", "h").mapInArrow(pick, "id long, y double, f array<int>").toArrow().sort_by("id").combine_chunks()
-    lists = got.column("f").combine_chunks()
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), lists, pa.array(texts, pa.string())], ["id", "y", "h", "named"])
+
+    got = labelled(docs, labels, "toxic", max_train, 1).mapInArrow(run, "id long, y double, h array<long>, named string").toArrow().sort_by("id").combine_chunks()
+    y = got.column("y").to_numpy()
+    if len(np.unique(y)) < 2:
+        warnings.warn(f"{len(y)} labelled documents of {len(np.unique(y))} classes: the toxicity model is a constant", stacklevel=2)
+    lists = got.column("h").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     length = lists.value_lengths().to_numpy()
-    return fit(np.repeat(np.arange(len(length)), length), chosen[lists.flatten().to_numpy()], got.column("y").to_numpy(), touched, swap)
+    touched = effects([x for s in got.column("named").to_pylist() if s for x in swaps(s, identity)])
+    return fit(np.repeat(np.arange(len(length)), length), lists.flatten().to_numpy().view(np.uint64), y, touched, swap)
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:
     """(doc_id, toxicity, toxic) for each row: the model's probability, and whether it is 0.5 or more.
 
-    A null text counts as empty; a null id stays null; repeated rows get a row each;
-    an empty table gives an empty result; other columns are ignored.
+    A null text counts as empty; a null id stays null; repeated rows get a row each, equal
+    texts equal values; texts of any length are read whole; an empty table gives an empty
+    result; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -169,7 +168,7 @@ def score(docs: DataFrame, model: Linear) -> DataFrame:
             p = np.round(held.value.score(b.column("text")), 6)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array(p >= 0.5)], ["doc_id", "toxicity", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, toxicity double, toxic boolean")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
