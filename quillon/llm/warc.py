@@ -1,8 +1,10 @@
 """WARC: resolve not-modified revisits against the latest earlier full response of their URL.
 
-An as-of join without a join: records of one canonical URL are ordered by capture time
-and the last full response is carried forward, so each record is shuffled once and
-bodies are not shuffled at all (results point to the record that holds the body).
+Records of one canonical URL and hour are ordered by capture time and the last full
+response is carried forward; what was last before the hour comes from a table with a row
+for each URL and hour.  So a URL that holds a large part of all records is spread over
+its hours, each record is shuffled once, and bodies are not shuffled at all (results
+point to the record that holds the body).
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOURS = 1.0
 #: Query parameters that do not select content.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid"
 #: Headers of the stored response that a 304 must not replace: they describe the body or the connection.
@@ -25,7 +28,7 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(u, r"^[^/?]*", ""))
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def resolve(records: DataFrame, hours: float = HOURS) -> DataFrame:
     """Each not-modified revisit with the full response that it stands for.
 
     ``records``: record_id, url, ts, status (200, 304, ...), headers (map of lower-case
@@ -39,14 +42,20 @@ def resolve(records: DataFrame) -> DataFrame:
     Headers are the response's, replaced and extended by the revisit's save those in
     ``KEPT``.  Equal times are ordered by record_id, a response before a revisit.
     Records with a null record_id, url or ts are left out; a null status is neither kind,
-    null headers are none.  Repeated revisits give a row each; other columns are ignored.
+    null headers are none.  Empty and very long URLs are keys like others.  Repeated
+    revisits give a row each; an empty table gives an empty result; other columns are
+    ignored.  ``hours`` is the span of capture times that one task orders.
     """
     r = records.where("record_id is not null and url is not null and ts is not null").select(
-        "record_id", canonical_url(F.col("url")).alias("key"), "ts", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")
+        "record_id", canonical_url(F.col("url")).alias("key"), "ts", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / int(hours * 3_600_000_000)).alias("span"), F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")
     )
     full = F.when(F.col("status") == 200, F.struct("record_id", "headers"))
-    past = Window.partitionBy("key").orderBy("ts", F.when(F.col("status") == 200, 0).otherwise(1), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    got = r.where("status in (200, 304)").withColumn("full", F.last(full, ignorenulls=True).over(past)).where("status = 304")
+    r = r.where("status in (200, 304)")
+    spans = r.groupBy("key", "span").agg(F.max_by(full, F.when(F.col("status") == 200, F.struct("ts", "record_id"))).alias("full"))
+    sooner = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("key", "span", F.last("full", ignorenulls=True).over(sooner).alias("carried"))
+    past = Window.partitionBy("key", "span").orderBy("ts", F.when(F.col("status") == 200, 0).otherwise(1), "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    got = r.withColumn("inside", F.last(full, ignorenulls=True).over(past)).where("status = 304").join(carried, ["key", "span"]).withColumn("full", F.coalesce("inside", "carried"))
     mine, its = F.col("headers"), F.col("full.headers")
     weak = lambda h: F.regexp_replace(F.element_at(h, "etag"), "^W/", "")
     same = F.coalesce(weak(mine) == weak(its), F.element_at(mine, "last-modified") == F.element_at(its, "last-modified"), F.lit(True))
