@@ -15,8 +15,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import even_slots, type_of
 
-SCHEMA = "page_id long, url string, rule_id long, action string, depth int"
 ROWS = 2_000_000
 
 
@@ -33,13 +35,15 @@ def apply_rules(urls: DataFrame, rules: DataFrame, rows: int = ROWS) -> DataFram
     ``urls``: page_id, url; ``rules``: rule_id, prefix (a key prefix, as ``url_key`` makes
     them), action.  Rules whose prefix is a byte prefix of the key hold; of rules with the
     same prefix only that of the smallest rule_id does.  An empty prefix holds for all.
-    Rows with a null id, url or prefix match nothing; a null action stays null; repeated
-    rows give a row each; empty tables give an empty result; other columns are ignored.
-    ``rows`` is the aim for the URLs of a partition.
+    Rows with a null id, url or prefix match nothing; a null action stays null; an empty URL
+    has the key ``,``; keys of any length are compared whole; repeated rows give a row each;
+    without rules or URLs the result is empty; other columns are ignored.  Ids may be of any
+    type that can be ordered.  ``rows`` is the aim for the URLs of a partition; the rules
+    over one key, which nest, are the stack of its sweep.
     """
-    spark = urls.sparkSession
-    u = urls.where("page_id is not null and url is not null").select(F.col("page_id").cast("long").alias("number"), "url", url_key(F.col("url")).alias("key"))
-    r = rules.where("rule_id is not null and prefix is not null").select(F.col("rule_id").cast("long").alias("number"), F.col("prefix").alias("key"), F.col("action").cast("string").alias("action"))
+    spark, page_type, rule_type = urls.sparkSession, type_of(urls, "page_id"), type_of(rules, "rule_id")
+    u = urls.where("page_id is not null and url is not null").select(F.col("page_id").alias("page"), F.lit(None).cast(type_of(rules, "rule_id")).alias("rule"), "url", url_key(F.col("url")).alias("key"))
+    r = rules.where("rule_id is not null and prefix is not null").select(F.lit(None).cast(type_of(urls, "page_id")).alias("page"), F.col("rule_id").alias("rule"), F.col("prefix").alias("key"), F.col("action").cast("string").alias("action"))
     n = u.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))
     cuts: list[bytes] = []  # parts - 1 keys, of a sample: they set balance, never the result
@@ -47,28 +51,31 @@ def apply_rules(urls: DataFrame, rules: DataFrame, rows: int = ROWS) -> DataFram
         sample = u.select("key").sample(min(1.0, 50 * parts / n), seed=7).collect()  # about 50 keys a partition
         keys = sorted(x["key"].encode() for x in sample)
         cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
-    held = spark.sparkContext.broadcast(cuts)
+    slots = even_slots(spark, len(cuts) + 1)
+    held = spark.sparkContext.broadcast((cuts, slots))  # a key and a number a partition
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, slots = held.value
         for b in batches:
             keys = [k.encode() for k in b.column("key").to_pylist()]
-            first = [bisect_right(held.value, k) for k in keys]
+            first = [bisect_right(cuts, k) for k in keys]
             kinds = b.column("kind").to_pylist()
-            last = [f if kind else max(f, bisect_left(held.value, k + b"\xff") if k else len(held.value)) for f, k, kind in zip(first, keys, kinds, strict=True)]
+            last = [f if kind else max(f, bisect_left(cuts, k + b"\xff") if k else len(cuts)) for f, k, kind in zip(first, keys, kinds, strict=True)]
             at = [i for i, (f, e) in enumerate(zip(first, last, strict=True)) for _ in range(f, e + 1)]
-            part = [p for f, e in zip(first, last, strict=True) for p in range(f, e + 1)]
+            part = [slots[p] for f, e in zip(first, last, strict=True) for p in range(f, e + 1)]
             t = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *t.columns], ["part", *t.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *t.columns], ["part", *t.schema.names])
 
-    events = u.select(F.lit(1).alias("kind"), "number", "url", "key", F.lit(None).cast("string").alias("action")).union(r.select(F.lit(0).alias("kind"), "number", F.lit(None).cast("string").alias("url"), "key", "action"))
-    placed = events.mapInArrow(place, "part int, kind int, number long, url string, key string, action string")
+    events = u.select(F.lit(1).alias("kind"), "page", "rule", "url", "key", F.lit(None).cast("string").alias("action")).union(r.select(F.lit(0).alias("kind"), "page", "rule", F.lit(None).cast("string").alias("url"), "key", "action"))
+    placed = events.mapInArrow(place, f"part long, kind int, page {page_type}, rule {rule_type}, url string, key string, action string")
+    item = to_arrow_type(urls.schema["page_id"].dataType), to_arrow_type(rules.schema["rule_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list[tuple[bytes, int, str]] = []
+        state: list[tuple[bytes, object, str]] = []
         part = None
         for b in batches:
             out: list[tuple] = []
-            for p, key, kind, number, url, action in zip(*(b.column(c).to_pylist() for c in ("part", "key", "kind", "number", "url", "action")), strict=True):
+            for p, key, kind, page, rule, url, action in zip(*(b.column(c).to_pylist() for c in ("part", "key", "kind", "page", "rule", "url", "action")), strict=True):
                 if p != part:
                     part, state = p, []
                 k = key.encode()
@@ -76,14 +83,14 @@ def apply_rules(urls: DataFrame, rules: DataFrame, rows: int = ROWS) -> DataFram
                     state.pop()
                 if kind == 0:
                     if not state or state[-1][0] != k:
-                        state.append((k, number, action))
+                        state.append((k, rule, action))
                 elif state:
-                    out.append((number, url, state[-1][1], state[-1][2], len(state)))
+                    out.append((page, url, state[-1][1], state[-1][2], len(state)))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32())
+            types = (item[0], pa.string(), item[1], pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "url", "rule_id", "action", "depth"])
 
-    return placed.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "key", "kind", "number").mapInArrow(run, SCHEMA)
+    return placed.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "key", "kind", "rule").mapInArrow(run, f"page_id {page_type}, url string, rule_id {rule_type}, action string, depth int")
 
 
 def rules_of_pages(pages: DataFrame) -> DataFrame:
