@@ -10,6 +10,7 @@ give the ids.  The outcome equals merging by rank, without a merge loop.
 from __future__ import annotations
 
 import base64
+import hashlib
 import importlib.util
 import sys
 import types
@@ -20,17 +21,15 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks
+from .common import chunks, type_of
 
 #: The pre-splitting of byte_bpe_50k: contractions, runs of letters, digits or other characters with a blank before, white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE, CACHE_CHARS = 500_000, 40
 _BLANKS = regex.compile(r"\s\s")
-SCHEMA = "doc_id long, n_tokens int, ids array<int>, exact boolean"
+UNKNOWN = "\ufffd".encode()
 
 
 def default_vocabulary() -> str:
@@ -44,6 +43,8 @@ class Bpe:
     """An exact encoder for a vocabulary of ranked byte strings that holds all single bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
+        if missing := 256 - sum(len(b) == 1 for b in ranks):
+            raise ValueError(f"{missing} single bytes are not in the vocabulary, so some texts have no encoding")
         self.bytes = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.by_blank = pattern == PATTERN
@@ -56,6 +57,7 @@ class Bpe:
         self.merged: dict[tuple[int, int], int] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.fit: dict[int, bool] = {}
+        self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         for b, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(b) == 1:
                 self.split[i] = (i, i)
@@ -77,29 +79,31 @@ class Bpe:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that once stood at an end of a token (0: its left end), each with the token that took it in."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, whole = [(token, 1 << 62)], token
+            while self.split[whole][side] != whole:
+                known.append((self.split[whole][side], whole))
+                whole = self.split[whole][side]
+            self.edges[side][token] = known
+        return known
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether a and b stay side by side when the bytes of both are merged by rank."""
-        limit = 1 << 62
-        split, merged = self.split, self.merged
-        while True:
-            if merged.get((a, b), limit) < limit:
-                return False
-            if a > b:
-                limit = a
-                a = split[a][1]
-                if a == limit:
-                    limit = b + 1
-                    b = split[b][0]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit = b + 1
-                b = split[b][0]
-                if b + 1 == limit:
-                    limit = a
-                    a = split[a][1]
-                    if a == limit:
-                        return True
+        """Whether a and b stay side by side when the bytes of both are merged by rank.
+
+        They do not if a token at a's right end and one at b's left end make a merge whose
+        turn comes while both stand there: before either is taken in by a token of its own
+        side.  Of equal ranks the one to the left goes first.
+        """
+        right, left = self._edge(a, 1), self._edge(b, 0)
+        for x, taken in right:
+            for y, took in left:
+                m = self.merged.get((x, y))
+                if m is not None and m < taken and m <= took:
+                    return False
+        return True
 
     def piece(self, s: str) -> tuple[int, ...]:
         """Ids of one pre-split piece, given as its bytes in latin-1."""
@@ -164,39 +168,47 @@ class Bpe:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids that come from ``encode``."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        """The text of ids; an unknown id, and bytes that are not UTF-8, become U+FFFD."""
+        return b"".join([self.bytes.get(i, UNKNOWN) for i in ids]).decode("utf-8", "replace")
+
+
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    """Ranks of lines with a base64 token and its rank each."""
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a file with a base64 token and its rank on each line."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    return parse_ranks(Path(path).read_bytes())
 
 
-def _encoder(name: str) -> Bpe:
+def _shipped(spark: SparkSession, vocabulary: str | None):
+    """The rank file as a broadcast value, with its digest."""
+    data = Path(vocabulary or default_vocabulary()).read_bytes()
+    return spark.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), data))  # the vocabulary: its size hangs on no table
+
+
+def _encoder(shipped) -> Bpe:
     """The encoder of a shipped vocabulary; a worker keeps it, and what it remembers, from task to task."""
     kept = sys.modules.setdefault("_quillon_kept", types.ModuleType("_quillon_kept")).__dict__
-    path = SparkFiles.get(name)
-    if path not in kept:
-        kept[path] = Bpe(read_ranks(path))
-    return kept[path]
+    digest, data = shipped.value
+    if digest not in kept:
+        kept[digest] = Bpe(parse_ranks(data))
+    return kept[digest]
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, exact) for each row: its ids, and whether they decode to the very text.
 
-    ``vocabulary`` is the path of a rank file; it is shipped to the executors as a file.
-    A null text has null ids and counts; an empty one has none of them; ids of documents
-    may be null or repeat; other columns are ignored.  Letters and digits are those of
+    ``vocabulary`` is the path, on the driver, of a rank file; it is broadcast.  A null text
+    has null ids and counts; an empty one has none of them; texts of any length are encoded
+    whole; ids of documents may be null, repeat (a row each) and be of any type; an empty
+    table gives an empty result; other columns are ignored.  Letters and digits are those of
     the regex library's Unicode version, which may be newer than another encoder's.
     """
-    path = vocabulary or default_vocabulary()
-    docs.sparkSession.sparkContext.addFile(path)
-    name = Path(path).name
+    shipped = _shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(name)
+        bpe = _encoder(shipped)
         for b in chunks(batches):
             texts = b.column("text").to_pylist()
             ids = [None if t is None else np.array(bpe.encode(t), np.int32) for t in texts]
@@ -207,23 +219,25 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(null)) if null.any() else pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if i is None else len(i) for i in ids], pa.int32()), lists, pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids", "exact"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, n_tokens int, ids array<int>, exact boolean")
 
 
 def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows of doc_id and ids; null ids give a null text."""
-    path = vocabulary or default_vocabulary()
-    docs = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
-    tokens.sparkSession.sparkContext.addFile(path)
-    name = Path(path).name
+    """(doc_id, text) for each row of doc_id and ids.
+
+    Null ids give a null text, none an empty one; an unknown id, a null among the ids, and
+    bytes that are not UTF-8, become U+FFFD.  Repeated rows give a row each; an empty table
+    gives an empty result; other columns are ignored.
+    """
+    shipped = _shipped(tokens.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: b for b, i in read_ranks(SparkFiles.get(name)).items()}
+        bpe = _encoder(shipped)
         for b in batches:
-            texts = [None if i is None else b"".join(map(table.__getitem__, i)).decode("utf-8", "replace") for i in b.column("ids").to_pylist()]
+            texts = [None if i is None else bpe.decode(i) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {type_of(tokens, 'doc_id')}, text string")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, fresh, materialise, mix, type_of, words
+from .common import chunks, discard, even_slots, fresh, materialise, mix, type_of, words
 
 RADIUS = 22
 WORD_WEIGHT, PAIR_WEIGHT = 4, 1
@@ -144,13 +144,13 @@ def _tiles(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def tile_pairs(tiles: DataFrame, radius: int, most: int = PARTITIONS) -> tuple[DataFrame, int]:
     """(slot, i, j) of the tile pairs that can hold a link, and the number of partitions; the slots hash to one partition each, evenly."""
     spark, t = tiles.sparkSession, tiles.count()
-    n = min(most, t * (t + 1) // 2)
+    n = max(1, min(most, t * (t + 1) // 2))
     b = tiles.toDF("j", "lo_", "hi_", "lo1_", "hi1_")
     gap = lambda lo, hi: F.greatest(F.col(f"{lo}_") - F.col(hi), F.col(lo) - F.col(f"{hi}_"))
     pairs = tiles.withColumnRenamed("tile", "i").withColumn("j", F.explode(F.sequence("i", F.lit(t - 1)))).join(b, "j").where((gap("lo", "hi") <= radius) & (gap("lo1", "hi1") <= radius))
     pairs = pairs.select(F.pmod(F.expr("j * (j + 1) div 2 + i"), F.lit(n)).alias("part"), "i", "j")
-    slots = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).cast("long").alias("part")).agg(F.min("id").alias("slot"))
-    return pairs.join(slots, "part", "left").select(F.coalesce("slot", "part").alias("slot"), "i", "j"), n
+    slots = spark.createDataFrame(list(enumerate(even_slots(spark, n))), "part long, slot long")
+    return pairs.join(slots, "part").select("slot", "i", "j"), n
 
 
 def _near(nodes: DataFrame, radius: int) -> DataFrame:

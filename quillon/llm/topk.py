@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD, chunks, hash_words, materialise, member, sieve, words
+from .common import WORD, chunks, hash_words, materialise, member, sieve, type_of, words
 
 K, K1, B = 10, 1.2, 0.75
 LEVELS, BLOCK_DOCS = 64, 32768
@@ -29,6 +30,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, ptr: np.ndarray, term: np.ndarray, impact: np.ndarray, top: float, n_terms: int):
         self.ids, self.ptr, self.term, self.impact = ids, ptr, term, impact
+        self.rank = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)  # ids may be strings
         self.step = top / LEVELS if top > 0 else 1.0
         level = np.ceil(impact / self.step).astype(np.int64)  # impact is in ((level - 1) * step, level * step]
         doc = np.repeat(np.arange(len(ids)), np.diff(ptr))
@@ -39,7 +41,7 @@ class Block:
         self.level = q[head]
         self.segments = np.searchsorted(t[head], np.arange(n_terms + 1))
 
-    def search(self, terms: np.ndarray, times: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
+    def search(self, terms: np.ndarray, times: np.ndarray, k: int, floor: float) -> list[tuple[float, object]]:
         """The k best (score, id) of at least ``floor``, scores rounded to 6 places, ties by id."""
         lists = [(s, int(m)) for t, m in zip(terms, times, strict=True) for s in range(self.segments[t], self.segments[t + 1])]
         if not lists:
@@ -77,8 +79,8 @@ class Block:
         at = np.repeat(self.ptr[member_] - heads, n) + np.arange(n.sum())
         score = np.round(np.add.reduceat(self.impact[at] * weight[self.term[at]], heads), 6)
         ok = np.flatnonzero((score >= floor) & (score > 0))
-        best_rows = ok[np.lexsort((self.ids[member_[ok]], -score[ok]))[:k]]
-        return [(float(score[i]), int(self.ids[member_[i]])) for i in best_rows]
+        best_rows = ok[np.lexsort((self.rank[member_[ok]], -score[ok]))[:k]]
+        return [(float(score[i]), self.ids[member_[i]]) for i in best_rows]
 
 
 def _postings(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -97,7 +99,7 @@ def _postings(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (term, tf)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(w.ptr)), *lists], ["doc_id", "dl", "terms", "tfs"])
 
-    return docs.mapInArrow(run, "doc_id long, dl long, terms array<int>, tfs array<int>")
+    return docs.mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, dl long, terms array<int>, tfs array<int>")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -107,12 +109,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
     places; equal ones rank by doc_id; documents without a word of the query are never
     listed.  Queries of up to ``shard_bytes`` of text are broadcast together, more are
     hashed into shards of that size, searched one after the other.  Rows with a null id
-    or text do not exist; each row is a document or a query of its own; empty tables give
-    an empty result; other columns are ignored.
+    or text do not exist; each row is a document or a query of its own; an empty text
+    counts among the documents but is never listed; texts of any length are read whole;
+    empty tables give an empty result; other columns are ignored.  Ids may be of any type
+    that can be ordered.
     """
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    queries = queries.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    queries = queries.select("item_id", "text").where("item_id is not null and text is not null")
+    types = to_arrow_type(queries.schema["item_id"].dataType), to_arrow_type(docs.schema["doc_id"].dataType), pa.float64()
     shards = max(1, -(-(queries.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) // shard_bytes))
     found = None
     for s in range(shards):
@@ -138,19 +143,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
                 norm = K1 * (1 - B + B * np.repeat(dl, size) / avg)
                 impact = idf[t] * tf * (K1 + 1) / (tf + norm)
                 ix = Block(i, np.concatenate(([0], np.cumsum(size))), t, impact, float(impact.max(initial=0)), len(idf))
-                out: list[tuple[int, int, float]] = []
+                out: list[tuple[object, object, float]] = []
                 for j, (item, q, m) in enumerate(wanted):
                     hits = ix.search(q, m, k, floor[j][-1])
                     floor[j] = sorted(floor[j] + [h[0] for h in hits], reverse=True)[:k]
                     out += [(item, d, sc) for sc, d in hits]
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["item_id", "doc_id", "score"])
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["item_id", "doc_id", "score"])
 
             held_rows: list[list] = [[] for _ in range(5)]
             waiting = 0
             for b in batches:
                 terms, tfs = b.column("terms"), b.column("tfs")
-                for x, y in zip(held_rows, (b.column("doc_id").to_numpy(), b.column("dl").to_numpy(), terms.value_lengths().to_numpy(), terms.flatten().to_numpy(), tfs.flatten().to_numpy()), strict=True):
+                for x, y in zip(held_rows, (b.column("doc_id").to_numpy(zero_copy_only=False), b.column("dl").to_numpy(), terms.value_lengths().to_numpy(), terms.flatten().to_numpy(), tfs.flatten().to_numpy()), strict=True):
                     x.append(y)
                 waiting += b.num_rows
                 if waiting >= BLOCK_DOCS:
@@ -159,7 +164,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
             if waiting:
                 yield block(*held_rows)
 
-        part = table.mapInArrow(run, "item_id long, doc_id long, score double")
+        part = table.mapInArrow(run, f"item_id {type_of(queries, 'item_id')}, doc_id {type_of(docs, 'doc_id')}, score double")
         found = part if found is None else found.union(part)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
