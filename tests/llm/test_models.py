@@ -66,7 +66,7 @@ def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumnRenamed("toxic", "y")
     m = toxicity.train(docs, labels.where("doc_id % 4 > 0").withColumnRenamed("y", "toxic"))
     got = toxicity.score(docs, m).join(labels.where("doc_id % 4 = 0"), "doc_id")
-    assert got.where("toxic = (y = 1)").count() >= 0.96 * got.count()
+    assert got.where("toxic = (y = 1)").count() >= 0.98 * got.count()
 
 
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):

@@ -5,6 +5,7 @@ from collections import Counter
 from math import log
 
 import numpy as np
+import pytest
 import tiktoken
 
 from quillon.llm import bpe, decontam, topk, urlfilter, warc
@@ -104,12 +105,50 @@ def test_block_max_bounds_lose_nothing():
             assert {i for i, _ in decontam.retrieve(ix, terms, theta)} == set(np.flatnonzero(full >= theta))
 
 
+def test_wand_reads_few_postings(monkeypatch):
+    """Blocks that cannot reach the threshold are passed over, and the result stays whole."""
+    rnd = random.Random(31)
+    items = [(i, prose(rnd, 12)) for i in range(3000)]
+    ix = decontam.build(items)
+    scored = []
+
+    class Seen(np.ndarray):
+        def __getitem__(self, k):
+            if isinstance(k, int):
+                scored.append(k)
+            return np.asarray(self)[k]
+
+    ix.impact = ix.impact.view(Seen)
+    h = np.unique(decontam.hash_words([items[5][1] + " " + prose(rnd, 60)])[0])
+    at = decontam.member(h, ix.terms, ix.sieve)
+    terms = at[at >= 0]
+    full = np.zeros(len(ix.ids))
+    for k in terms:
+        full[ix.item[ix.ptr[k] : ix.ptr[k + 1]]] += np.asarray(ix.impact)[ix.ptr[k] : ix.ptr[k + 1]]
+    got = decontam.retrieve(ix, terms, 0.6)
+    assert {i for i, _ in got} == set(np.flatnonzero(full >= 0.6)) and all(abs(s - full[i]) < 1e-9 for i, s in got)
+    assert 0 < len(scored) < (ix.ptr[terms + 1] - ix.ptr[terms]).sum() / 4
+
+
+def test_best_match_is_one_match(spark):
+    """The overlaps of a row belong to the match of its score."""
+    rnd = random.Random(33)
+    q, a = prose(rnd, 20).split(), prose(rnd, 10).split()
+    items = spark.createDataFrame([(1, " ".join(q) + "? " + " ".join(a))], "item_id long, text string")
+    half = [" ".join([*q[:14], *["x"] * 6, *a]), " ".join([*q, *a[:7], "y", "y", "y"])]
+    rows = [row(1, half[0]), row(1, half[1])]
+    one = {tuple(r)[2:] for k in (0, 1) for r in decontam.leaks(spark.createDataFrame(rows[k : k + 1], SCHEMA), items).collect()}
+    both = decontam.leaks(spark.createDataFrame(rows, SCHEMA), items).collect()
+    assert len(one) == 2 and [tuple(r)[2:] for r in both] == [max(one)]
+
+
 def test_leaks_of_awkward_rows(spark, awkward, nothing):
     base = awkward.where("doc_id = 1").collect()[0]["text"]
     items = spark.createDataFrame([(1, " ".join(base.split()[10:50])), (2, ""), (3, None), (None, "x"), (4, "!!")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(awkward, items).collect()} == {(1, 1), (2, 1), (3, 1)}
     assert decontam.leaks(nothing, items).count() == 0 and decontam.leaks(awkward, items.limit(0)).count() == 0
-    assert sorted(r["doc_id"] or -1 for r in decontam.without_leaks(awkward, items).collect()) == [-1, 4, 5, 6, 7, 8, 9, 10]
+    assert sorted(r["doc_id"] for r in decontam.without_leaks(awkward, items).collect()) == [4, 5, 6, 7, 8, 9, 10]
+    assert decontam.without_leaks(awkward, items, shard_bytes=10).count() == 7 and decontam.without_leaks(nothing, items).count() == 0
     assert topk.search(awkward, items).count() > 0 and topk.search(nothing, items).count() == 0
 
 
@@ -125,11 +164,49 @@ def test_bpe_equals_the_library(spark, awkward, nothing):
     for t in texts:
         ids = own.encode(t)
         assert ids == lib.encode_ordinary(t) and own.decode(ids) == t
-    got = {r["doc_id"]: r for r in bpe.encode(awkward.where("doc_id <> 2")).collect()}
+    got = {r["doc_id"]: r for r in bpe.encode(awkward).collect()}
+    assert bpe.encode(awkward).count() == awkward.count() == bpe.decode(bpe.encode(awkward)).count()
     assert got[6]["ids"] is None and got[5]["ids"] == [] and all(r["exact"] for i, r in got.items() if i != 6)
-    back = bpe.decode(bpe.encode(awkward.where("doc_id > 2")))
-    assert {(r[0], r[1]) for r in back.collect()} == {(r[0], r[1]) for r in awkward.where("doc_id > 2").select("doc_id", "text").collect()}
-    assert bpe.encode(nothing).count() == 0
+    back = bpe.decode(bpe.encode(awkward))
+    assert Counter((r[0], r[1]) for r in back.collect()) == Counter((r[0], r[1]) for r in awkward.select("doc_id", "text").collect())
+    assert bpe.encode(nothing).count() == 0 and bpe.decode(bpe.encode(nothing)).count() == 0
+    odd = spark.createDataFrame([(1, [own.encode("a")[0], 10**9, None]), (2, []), (3, None), (4, own.encode("é")[:1]), (2, [])], "doc_id long, ids array<int>")
+    assert sorted(map(tuple, bpe.decode(odd).collect())) == [(1, "a\ufffd\ufffd"), (2, ""), (2, ""), (3, None), (4, "é" if len(own.encode("é")) == 1 else "\ufffd")]
+
+
+def test_vocabularies_of_one_name(spark, tmp_path):
+    import base64
+
+    for k, extra in enumerate((b"ab", b"bc")):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "v.tiktoken").write_text("".join(f"{base64.b64encode(b).decode()} {i}\n" for i, b in enumerate([*(bytes([x]) for x in range(256)), extra])))
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    assert [bpe.encode(docs, str(tmp_path / k / "v.tiktoken")).collect()[0]["ids"] for k in "01"] == [[256, 99], [97, 256]]
+    with pytest.raises(ValueError, match="1 single bytes"):
+        bpe.Bpe({bytes([x]): x for x in range(255)})
+
+
+def test_merges_equal_a_merge_loop():
+    """Any vocabulary made by merging: the dynamic program against merging by rank."""
+    for seed in range(8):
+        rnd = random.Random(seed)
+        ranks = {bytes([x]): x for x in range(256)}
+        pool = [b"a", b"b", b"c"]
+        while len(pool) < 40:
+            new = rnd.choice(pool) + rnd.choice(pool)
+            if new not in ranks and len(new) < 9 and len(bpe.Bpe._merge_below(new, len(ranks), ranks)) == 2:  # what training could have made
+                ranks[new] = len(ranks)
+                pool.append(new)
+        own = bpe.Bpe(ranks, r"(?s).+")
+        for _ in range(300):
+            text = "".join(rnd.choices("abc", k=rnd.randrange(1, 14)))
+            parts = [bytes([x]) for x in text.encode()]
+            while len(parts) > 1:
+                r, k = min((ranks.get(parts[k] + parts[k + 1], 1 << 40), k) for k in range(len(parts) - 1))
+                if r == 1 << 40:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            assert own.encode(text) == [ranks[p] for p in parts]
 
 
 def test_revisits(spark):
@@ -153,6 +230,27 @@ def test_revisits(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hours", [0.5, 1.0, 1e6])
+def test_revisits_by_force(spark, hours):
+    """A URL that holds most records, over spans of any length."""
+    rnd = random.Random(17)
+    rows = []
+    for i in range(400):
+        url = "http://hot.com/" if rnd.random() < 0.7 else f"http://h{rnd.randrange(9)}.com/" + "x" * rnd.choice([0, 5000])
+        rows.append((i, url, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randrange(0, 2000)), rnd.choice([200, 304, 304, 404, None]), {"etag": f'"{rnd.randrange(3)}"'}))
+    rows.append((900, "", dt.datetime(2024, 1, 1), 304, {}))
+    want = {}
+    for i, url, t, status, h in rows:
+        if status == 304:
+            past = [(o[2], o[0], o) for o in rows if o[3] == 200 and o[1] == url and o[2] <= t]
+            full = max(past, key=lambda x: x[:2])[2] if past else None
+            outcome = "no_response" if full is None else "resolved" if full[4].get("etag") == h.get("etag") or "etag" not in h else "changed"
+            want[i] = (full[0] if outcome == "resolved" else None, outcome)
+    df = spark.createDataFrame(rows, "record_id long, url string, ts timestamp, status int, headers map<string,string>")
+    got = warc.resolve(df, hours).collect()
+    assert {r["record_id"]: (r["target_id"], r["outcome"]) for r in got} == want and len(got) == len(want)
+
+
 def test_url_rules_by_force(spark):
     rnd = random.Random(11)
     hosts = ["com,a,", "com,a,m,", "com,b,", "org,a,"]
