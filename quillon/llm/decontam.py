@@ -3,11 +3,11 @@
 Items are the indexed documents, every passage of every training text is a query.
 Impacts are BM25 divided by the item's score for its own words, so that one
 threshold in (0, 1] serves all items.  Two vectorised bounds rule out most passages of a
-batch: the sum of their terms' largest impacts, and the sum of their largest impacts in
-each range of items.  The rest run block-max WAND: a cursor on the posting list of each
-term, a pivot where the terms' largest impacts may reach the threshold, blocks of
-postings skipped where their own largest impacts may not, and exact scores at the pivots
-left.
+batch: the sum of their terms' largest impacts, and, for each item, what they hold of its
+rarest terms plus all that its other terms could add.  The rest run block-max WAND: a
+cursor on the posting list of each term, a pivot where the terms' largest impacts may
+reach the threshold, blocks of postings skipped where their own largest impacts may not,
+and exact scores at the pivots left.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import chunks, grams, hash_words, member, sieve, type_of, words
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.6
-GRAM, PASSAGE, BLOCK, RANGES = 3, 64, 8, 64
+GRAM, PASSAGE, BLOCK, RARE = 3, 64, 8, 0.75
 SHARD_BYTES = 16 << 20
 COLUMNS = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
@@ -57,7 +57,10 @@ class Index:
     item: np.ndarray
     impact: np.ndarray
     top: np.ndarray  # largest impact of each term
-    ranges: np.ndarray  # ... in each of at most RANGES ranges of items
+    rare_ptr: np.ndarray  # of each term, the postings in which it is one of the item's rarest
+    rare_item: np.ndarray
+    rare_impact: np.ndarray
+    rare_sum: np.ndarray  # of each item, the impacts of its rarest terms: RARE of its score at least
     block_ptr: np.ndarray  # blocks of BLOCK postings of each term
     block_last: np.ndarray  # the last item of each block
     block_top: np.ndarray  # the largest impact in it
@@ -90,9 +93,13 @@ def build(items: list[tuple[object, str]], df: dict[int, int] | None = None, tot
     order = np.lexsort((item, term))
     term, item, impact = term[order], item[order], impact[order]
     ptr = np.searchsorted(term, np.arange(len(terms) + 1))
-    width = max(BLOCK, -(-len(ids) // RANGES))
-    ranges = np.zeros((len(terms), max(1, -(-len(ids) // width))), np.float32)
-    np.maximum.at(ranges, (term, item // width), impact.astype(np.float32) * np.float32(1.000001))
+    by_item = np.lexsort((term, dfs[term], item))
+    owner, share = item[by_item], impact[by_item]
+    before = np.concatenate(([0], np.cumsum(share)))[:-1]
+    before -= before[np.searchsorted(owner, owner)]
+    rare = np.sort(by_item[before < RARE])
+    rare_ptr = np.searchsorted(term[rare], np.arange(len(terms) + 1))
+    rare_sum = np.bincount(item[rare], impact[rare], len(ids))
     size_of = -(-np.diff(ptr) // BLOCK)
     block_ptr = np.concatenate(([0], np.cumsum(size_of)))
     heads = np.repeat(ptr[:-1] - block_ptr[:-1] * BLOCK, size_of) + np.arange(block_ptr[-1]) * BLOCK
@@ -101,7 +108,7 @@ def build(items: list[tuple[object, str]], df: dict[int, int] | None = None, tot
     top = np.maximum.reduceat(impact, ptr[:-1]) if len(terms) else np.zeros(0)
     cut = [hash_words(list(split_item(items[k][1]))) for k in full]
     parts = [(q, a) for q, a in cut]
-    return Index(ids, terms, sieve(terms), ptr, item, impact, top, ranges, block_ptr, block_last, block_top, max(half, int(size.max(initial=0))), parts)
+    return Index(ids, terms, sieve(terms), ptr, item, impact, top, rare_ptr, item[rare], impact[rare], rare_sum, block_ptr, block_last, block_top, max(half, int(size.max(initial=0))), parts)
 
 
 def retrieve(ix: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -176,6 +183,21 @@ def contained(ix: Index, i: int, passage: np.ndarray) -> tuple[float, float]:
     return share(question), share(answer)
 
 
+def _hold_rare(ix: Index, term: np.ndarray, run: np.ndarray, has_next: np.ndarray, threshold: float) -> np.ndarray:
+    """Which runs, each with the next, hold enough of the rarest terms of some item for it to reach the threshold."""
+    n = ix.rare_ptr[term + 1] - ix.rare_ptr[term]
+    at = np.repeat(ix.rare_ptr[term] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    pair = np.unique(np.stack([np.repeat(run, n), at], 1), axis=0)  # a term once a run; in both runs it counts twice, as a bound may
+    back = pair[(pair[:, 0] > 0) & has_next[pair[:, 0] - 1]] - np.array([1, 0])
+    pair = np.concatenate([pair, back])
+    out = np.zeros(len(has_next), bool)
+    if len(pair):
+        key, inverse = np.unique(pair[:, 0] * len(ix.ids) + ix.rare_item[pair[:, 1]], return_inverse=True)
+        held = np.bincount(inverse, ix.rare_impact[pair[:, 1]])
+        out[key[held >= threshold - 1e-6 - (1 - ix.rare_sum[key % len(ix.ids)])] // len(ix.ids)] = True
+    return out
+
+
 def scan(ix: Index, col: pa.Array, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question overlap, answer overlap), the best passage of each row and item."""
     w = words(col)
@@ -200,12 +222,10 @@ def scan(ix: Index, col: pa.Array, threshold: float, overlap: float) -> list[tup
     sub = need[run]
     if not sub.any():
         return []
-    known, run = known[sub], run[sub]
-    head = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    bound = np.zeros((first[-1], ix.ranges.shape[1]), np.float32)
-    bound[run[head]] = np.add.reduceat(ix.ranges[vid[known]], head, axis=0)
+    if threshold > 1 - ix.rare_sum.min(initial=1.0) + 1e-6:  # so each match holds some of its item's rarest terms
+        hopeful &= _hold_rare(ix, vid[known[sub]], run[sub], has_next, threshold)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for s in np.flatnonzero(hopeful & (paired(bound).max(1) >= threshold)):
+    for s in np.flatnonzero(hopeful):
         d = int(np.searchsorted(first, s, side="right")) - 1
         lo = w.ptr[d] + (s - first[d]) * ix.half
         hi = min(w.ptr[d + 1], lo + 2 * ix.half)
