@@ -143,8 +143,7 @@ def repeats_by_force(rows, n):
     return out
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(substring, "SHARD_ROWS", 40)
+def repeating():
     rnd = random.Random(8)
     passages = [prose(rnd, rnd.choice([49, 50, 51, 75, 130])) for _ in range(12)]
     rows = []
@@ -153,11 +152,45 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
         for _ in range(rnd.randrange(3)):
             parts += [rnd.choice(passages), prose(rnd, rnd.randrange(1, 60))]
         rows.append((i, " ".join(parts)))
-    rows += [(100, "same " * 200), (101, "same " * 120), (102, passages[0] + " " + passages[0])]
+    return rows + [(100, "same " * 200), (101, "same " * 120), (102, passages[0] + " " + passages[0])]
+
+
+@pytest.mark.parametrize("hot", [100_000, 2, 0])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+    """With few rows a shard, so that anchors are salted, and with some or all anchors hot."""
+    monkeypatch.setattr(substring, "SHARD_ROWS", 3 if hot == 2 else 40)
+    monkeypatch.setattr(substring, "HOT", hot)
+    rows = repeating()
     got = substring.repeats(spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA))
     assert {tuple(r) for r in got.select("doc_id", "begin", "end").collect()} == repeats_by_force(rows, 50)
 
 
+def test_occurrences_come_from_the_automata(spark, monkeypatch):
+    class Deaf:
+        def __init__(self, *_):
+            pass
+
+        def __len__(self):
+            return 1
+
+        def add_word(self, *_):
+            pass
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, *_):
+            return []
+
+    rows = [(k, np.arange(60, dtype=np.int32) + 100 * (k == 2)) for k in range(3)]
+    lists = pa.array([w.tolist() for _, w in rows], pa.list_(pa.int32()))
+    table = pa.table({"anchor": pa.array([5, 5, 5]), "lo": pa.array([0, 1, 2]), "hi": pa.array([0, 1, 2]), "words": lists, "doc_id": pa.array([0, 1, 2]), "begin": pa.array([7, 0, 0])})
+    phrases = substring.confirm(table, 50)
+    assert phrases.num_rows == 2 and substring.locate(phrases, table, 50).to_pydict() == {"doc_id": [0, 0, 1, 1], "begin": [7, 17, 0, 10], "end": [57, 67, 50, 60]}
+    monkeypatch.setattr(substring.ahocorasick, "Automaton", Deaf)
+    assert substring.locate(phrases, table, 50).num_rows == 0
+
+
 def test_repeats_of_awkward_rows(awkward, nothing):
     got = {(r["doc_id"], r["begin"], r["end"]) for r in substring.repeats(awkward).collect()}
     assert {(1, 0, 120), (2, 0, 120)} <= got and {d for d, _, _ in got} == {1, 2, 3}
