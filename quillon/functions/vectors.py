@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
 
 
+def dot_with(a: Column, v) -> Column:
+    """Scalar product with one vector, of arrays of its length; whole batches at once."""
+    query = np.array([float(x) for x in v])
+
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array(col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), len(query)) @ query)
+
+    return F.arrow_udf(run, "double")(a)
+
+
 def array_literal(v) -> Column:
     return F.array(*(F.lit(float(x)) for x in v))
 

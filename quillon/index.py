@@ -1,18 +1,22 @@
 """The index: stored documents, postings and statistics as DataFrames, kept as Parquet.
 
-``postings`` is clustered by (field, term): partitioned by field, range-partitioned and
-sorted by term, so a term's postings lie in few row groups.  Statistics are derived by
-aggregation; updates write a new snapshot and switch a pointer file, so readers always
-see a whole version.
+A stored index is laid out for its reads: ``postings`` partitioned by field and ranged by
+(term, document), so that a term's postings lie in few row groups and those of a frequent
+term in many files; ``terms`` (the dictionary with document frequencies) by term, ``docs``
+by id, ``numbers`` and ``dates`` by value.  Counts of documents and Σ lengths stand in the
+pointer file.  Updates write a new snapshot and replace that file in one step, so readers
+always see a whole version.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,9 +25,10 @@ from pyspark.sql import types as T
 from .functions import analysis
 from .functions.vectors import norm
 from .mapping import IndexMapping, MappedField, mapped_fields, timestamps, valid_id
+from .operators import ann
 from .operators.scoring import Scorer, bm25
 
-VERSION = "1"
+VERSION = "2"
 TABLES = ("docs", "postings", "numbers", "dates", "vectors", "symbols")
 POSTING = "field string, term string, doc_id {id}, tf int, dl int, positions array<int>"
 
@@ -36,7 +41,11 @@ class DocumentNotFound(KeyError):
     """No document has the id."""
 
 
-#: Makes postings (term, doc_id, tf, dl, positions, field) of (doc_id, value) rows of one field.
+class RepeatedIds(ValueError):
+    """Several rows of one input have the same id."""
+
+
+#: Makes postings (term, doc_id, tf, dl, positions, field) of (doc_id, value) rows of one field; dl, where not null, is Σ tf of the document.
 FieldIndexer = Callable[[DataFrame, MappedField], DataFrame]
 
 
@@ -45,11 +54,28 @@ def _tokens(f: MappedField, raw: DataFrame) -> DataFrame:
     return raw.select("doc_id", analysis.registry.analyzer(name)(F.col("value")).alias("tokens"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch], positions: bool) -> Iterator[pa.RecordBatch]:
+    """Postings of rows of (doc_id, terms, positions): each row's terms counted, with numpy over the batch."""
+    for b in batches:
+        terms, places = b.column("terms"), b.column("places")
+        size = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = terms.flatten().dictionary_encode()
+        doc, code = np.repeat(np.arange(b.num_rows), size), flat.indices.to_numpy()
+        pos = places.flatten().to_numpy() if positions else np.arange(len(code))
+        order = np.lexsort((pos, code, doc))
+        doc, code = doc[order], code[order]
+        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))) if len(doc) else np.zeros(0, np.int64)
+        ends = np.append(head, len(doc))
+        spots = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pos[order].astype(np.int32))) if positions else pa.nulls(len(head), pa.list_(pa.int32()))
+        columns = [flat.dictionary.take(pa.array(code[head])), b.column("doc_id").take(pa.array(doc[head])), pa.array(np.diff(ends).astype(np.int32)), pa.array(size[doc[head]].astype(np.int32)), spots]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "tf", "dl", "positions"])
+
+
 def text_postings(raw: DataFrame, f: MappedField) -> DataFrame:
-    """Postings of a text field: the only shuffle is the one by term and document."""
-    flat = _tokens(f, raw).select("doc_id", F.size("tokens").alias("dl"), F.inline("tokens"))
-    spots = F.sort_array(F.collect_list("position")) if f.mapping.term_vectors else F.first(F.lit(None).cast("array<int>"))
-    out = flat.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), spots.alias("positions"))
+    """Postings of a text field; a document's tokens are in one row, so nothing is shuffled."""
+    rows = _tokens(f, raw).select("doc_id", F.col("tokens.term").alias("terms"), F.col("tokens.position").alias("places"))
+    kind, held = raw.schema["doc_id"].dataType.simpleString(), f.mapping.term_vectors
+    out = rows.mapInArrow(lambda batches: _counted(batches, held), f"term string, doc_id {kind}, tf int, dl int, positions array<int>")
     return out.withColumn("field", F.lit(f.name))
 
 
@@ -81,12 +107,18 @@ class SearchIndex:
     plugins: dict[str, object] = field(default_factory=dict)
     logger: Callable[[str], None] | None = None
     _stats: Stats | None = None
+    _known: dict[str, dict[str, int]] = field(default_factory=dict)
+    _cells: dict[str, np.ndarray] = field(default_factory=dict)
 
     # building
 
     @classmethod
     def of(cls, docs: DataFrame, mapping: IndexMapping | None = None, id_col: str = "doc_id", check_ids: bool = True, **kw) -> SearchIndex:
-        """Index a DataFrame with one row a document, without running anything yet (but for invalid ids, which fail when rows are read)."""
+        """Index a DataFrame with one row a document, without running anything yet.
+
+        Invalid ids fail when rows are read, repeated ids when documents are counted, which
+        is before anything is scored or saved; ``batch`` takes several operations an id.
+        """
         mapping = mapping or IndexMapping()
         mapping.validate()
         docs = docs.withColumnRenamed(id_col, "doc_id")
@@ -106,14 +138,15 @@ class SearchIndex:
             if not f.mapping.index:
                 continue
             raw = docs if f.when is None else docs.where(f.when)
-            raw = raw.select("doc_id", f.value.alias("value")).where("value is not null")
+            lang = ["_lang"] if f.mapping.type == "symbol" and "_lang" in docs.columns else []
+            raw = raw.select("doc_id", f.value.alias("value"), *lang).where("value is not null")
             kind = f.mapping.type
             if kind in indexers:
                 parts["postings"].append(indexers[kind](raw, f).selectExpr(*(c.split()[0] for c in POSTING.split(", "))))
             elif kind == "symbol":
                 from .operators.codesearch import symbol_postings, symbols
 
-                found = symbols(raw, f.mapping.language or "auto")
+                found = symbols(raw, f.mapping.language or "auto", self.plugins.get("symbol_extractor"))
                 parts["symbols"].append(found.withColumn("field", F.lit(f.name)))
                 parts["postings"].append(symbol_postings(found, f.name).selectExpr(*(c.split()[0] for c in POSTING.split(", "))))
             elif kind == "numeric":
@@ -151,10 +184,12 @@ class SearchIndex:
 
     @property
     def stats(self) -> Stats:
-        """Counted once an index version; a row a field."""
+        """Kept with a stored index, else counted once an index version; a row a field."""
         if self._stats is None:
-            n = self.tables["docs"].count()
-            lengths = self.field_lengths().groupBy("field").agg(F.sum("dl").alias("n")).collect()
+            n, ids = self.tables["docs"].agg(F.count("*"), F.count_distinct("doc_id")).collect()[0]
+            if n != ids:
+                raise RepeatedIds(f"{n} rows have {ids} different ids")
+            lengths = self.tables["postings"].where("dl is not null").groupBy("field").agg(F.sum("tf").alias("n")).collect()
             self._stats = Stats(n, {r["field"]: r["n"] for r in lengths})
         return self._stats
 
@@ -175,9 +210,22 @@ class SearchIndex:
         return self.tables["postings"].where(F.col("field") == name)
 
     def term_stats(self, name: str) -> DataFrame:
-        """(term, df) of a field."""
+        """(term, df) of a field: the stored dictionary, where there is one."""
+        if "terms" in self.tables:
+            return self.tables["terms"].where(F.col("field") == name).select("term", "df")
         return self.postings(name).groupBy("term").agg(F.count("*").alias("df"))
 
+    def dfs(self, name: str, terms: list[str]) -> dict[str, int] | None:
+        """Document frequencies of a query's terms from the stored dictionary; None where the index has none."""
+        if "terms" not in self.tables:
+            return None
+        known = self._known.setdefault(name, {})
+        new = [t for t in terms if t not in known]
+        if new:
+            found = {r["term"]: r["df"] for r in self.term_stats(name).where(F.col("term").isin(new)).collect()}
+            known.update({t: found.get(t, 0) for t in new})
+        return {t: known[t] for t in terms if known[t]}
+
     def field_lengths(self) -> DataFrame:
         """(field, doc_id, dl) of fields that have a length."""
         return self.tables["postings"].where("dl is not null").groupBy("field", "doc_id").agg(F.first("dl").alias("dl"))
@@ -191,6 +239,30 @@ class SearchIndex:
     def vectors(self, name: str) -> DataFrame:
         return self.tables["vectors"].where(F.col("field") == name)
 
+    def with_cells(self, name: str, cells: int | None = None, sample: int = ann.SAMPLE) -> SearchIndex:
+        """The index with the vectors of a field clustered, for KNN queries with ``probes``; saved and changed with the rest."""
+        own = self.vectors(name)
+        c = ann.fit(own, cells, sample)
+        rows = self.spark.createDataFrame([(name, i, [float(x) for x in v]) for i, v in enumerate(c)], "field string, cell int, vec array<float>")
+        out = dict(self.tables)
+        for table, new in (("centroids", rows), ("cells", ann.assign(own, c))):
+            old = self.tables.get(table)
+            out[table] = new if old is None else old.where(F.col("field") != name).unionByName(new)
+        return SearchIndex(self.spark, self.mapping, out, self.scorer, self.path, self.plugins, self.logger, self._stats)
+
+    def centroids(self, name: str) -> np.ndarray:
+        """The centroids of a field, kept once read; ``ann.MOST_CELLS`` at most."""
+        if name not in self._cells:
+            rows = self.tables["centroids"].where(F.col("field") == name).orderBy("cell").select("vec").collect()
+            self._cells[name] = np.array([r["vec"] for r in rows], np.float32).reshape(len(rows), -1)
+        return self._cells[name]
+
+    def nearest_cells(self, node) -> DataFrame:
+        """The vectors in the cells nearest to a KNN query."""
+        if "cells" not in self.tables:
+            raise ValueError(f"the vectors of {node.field!r} have no cells: see with_cells")
+        return self.tables["cells"].where((F.col("field") == node.field) & F.col("cell").isin(ann.nearest(self.centroids(node.field), node.vector, node.probes)))
+
     def symbols_of(self, name: str, doc_id) -> DataFrame:
         if "symbols" not in self.tables:
             raise DocumentNotFound(f"no symbols of {name}")
@@ -206,20 +278,33 @@ class SearchIndex:
         for t in self.tables.values():
             t.unpersist()
 
+    def log(self, message: str) -> None:
+        if self.logger:
+            self.logger(message)
+
     # persistence
 
     def save(self, path: str) -> SearchIndex:
         """Write a snapshot below ``path``, make it the current one, and return the index that reads it."""
-        snap = uuid.uuid4().hex
-        for name, t in self.tables.items():
-            if name == "postings":
-                t = t.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
-                t.write.partitionBy("field").parquet(f"{path}/{snap}/{name}")
-            else:
-                t.write.parquet(f"{path}/{snap}/{name}")
-        meta = {"version": VERSION, "snapshot": snap, "schemas": {n: t.schema.json() for n, t in self.tables.items()}}
-        _write_text(self.spark, f"{path}/meta.json", json.dumps(meta))
-        return SearchIndex.open(self.spark, path, self.mapping, scorer=self.scorer, plugins=self.plugins)
+        snap, stats = uuid.uuid4().hex, self.stats
+        tables = {n: t for n, t in self.tables.items() if n != "terms"}
+        postings = tables["postings"].persist(StorageLevel.DISK_ONLY)  # read twice here; ranging reads it once more
+        tables["terms"] = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        split = {"postings": ["field"], "terms": ["field"], "cells": ["field", "cell"]}
+        order = {"docs": ["doc_id"], "postings": ["field", "term", "doc_id"], "terms": ["field", "term"], "numbers": ["field", "value"], "dates": ["field", "value"]}
+        for name, t in tables.items():
+            t = postings if name == "postings" else t
+            if name in order:
+                t = t.repartitionByRange(*order[name]).sortWithinPartitions(*order[name])
+            elif name == "cells":
+                t = t.repartition("field", "cell")
+            w = t.write.partitionBy(*split[name]) if name in split else t.write
+            w.parquet(f"{path}/{snap}/{name}")
+        postings.unpersist()
+        meta = {"version": VERSION, "snapshot": snap, "docs": stats.docs, "lengths": stats.lengths, "schemas": {n: t.schema.json() for n, t in tables.items()}}
+        _replace_text(self.spark, f"{path}/meta.json", json.dumps(meta))
+        self.log(f"saved {stats.docs} documents as snapshot {snap} of {path}")
+        return SearchIndex.open(self.spark, path, self.mapping, scorer=self.scorer, plugins=self.plugins, logger=self.logger)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, mapping: IndexMapping | None = None, **kw) -> SearchIndex:
@@ -227,7 +312,19 @@ class SearchIndex:
         if meta["version"] != VERSION:
             raise IndexVersionError(f"index version {meta['version']}, not {VERSION}")
         tables = {n: spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(f"{path}/{meta['snapshot']}/{n}") for n, s in meta["schemas"].items()}
-        return cls(spark, mapping or IndexMapping(), tables, path=path, **kw)
+        out = cls(spark, mapping or IndexMapping(), tables, path=path, _stats=Stats(meta["docs"], meta["lengths"]), **kw)
+        out.log(f"opened snapshot {meta['snapshot']} of {path}")
+        return out
+
+    @staticmethod
+    def vacuum(spark: SparkSession, path: str) -> int:
+        """Delete all snapshots but the current one, once no reader uses them; how many they were."""
+        current = json.loads(_read_text(spark, f"{path}/meta.json"))["snapshot"]
+        root, fs = _file(spark, path)
+        old = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName() != current]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
 
     # changing
 
@@ -243,11 +340,14 @@ class SearchIndex:
         if gone is None:
             return self
         gone = gone.distinct()
-        kept = {n: t.join(gone, "doc_id", "left_anti").select(*t.columns) for n, t in self.tables.items()}
+        kept = {n: t.join(gone, "doc_id", "left_anti").select(*t.columns) if "doc_id" in t.columns else t for n, t in self.tables.items() if n != "terms"}
         if upserts is not None:
             fresh = SearchIndex.of(upserts, self.mapping, plugins=self.plugins).tables
             for n, t in fresh.items():
                 kept[n] = kept[n].unionByName(t, allowMissingColumns=True) if n in kept else t
+            if "centroids" in self.tables:
+                for f in [r["field"] for r in self.tables["centroids"].select("field").distinct().collect()]:
+                    kept["cells"] = kept["cells"].unionByName(ann.assign(fresh["vectors"].where(F.col("field") == f), self.centroids(f)))
         return SearchIndex(self.spark, self.mapping, kept, self.scorer, self.path, self.plugins, self.logger)
 
     def index(self, docs: DataFrame) -> SearchIndex:
@@ -266,8 +366,8 @@ class SearchIndex:
 
 
 def last_operations(operations: DataFrame) -> DataFrame:
-    """The operation of the greatest seq of each doc_id."""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("seq"))
+    """The operation of the greatest seq of each doc_id; of equal ones a deletion, then the row of the smallest hash."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("seq"), "op", F.xxhash64(*(c for c, t in operations.dtypes if not t.startswith("map"))))
     return operations.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
@@ -276,11 +376,18 @@ def _file(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def _replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file beside ``path`` and rename it: readers see the old text or the new, never a part."""
     p, fs = _file(spark, path)
-    out = fs.create(p, True)
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    beside = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), how)
 
 
 def _read_text(spark: SparkSession, path: str) -> str:

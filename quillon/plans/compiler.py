@@ -10,12 +10,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import query as q
 from ..functions.analysis import analyze_text
-from ..functions.vectors import array_literal, byte_levenshtein, dot
+from ..functions.vectors import byte_levenshtein, dot_with
 from ..index import SearchIndex
 
 MOST_TERMS, MOST_FUZZ = 1000, 2
@@ -83,11 +83,13 @@ class Compiler:
 
     # text leaves
 
-    def _rows(self, terms: list[tuple[str, float]]) -> DataFrame:
-        """(term, weight, times) rows; the weights of repeated terms add up."""
+    def _rows(self, terms: list[tuple[str, float]], dfs: dict[str, int] | None = None) -> DataFrame:
+        """(term, weight, times) rows, with df where known; the weights of repeated terms add up."""
         total: dict[str, list[float]] = {}
         for t, w in terms:
             total.setdefault(t, []).append(w)
+        if dfs is not None:
+            return self.spark.createDataFrame([(t, float(sum(w)), len(w), float(dfs[t])) for t, w in total.items()], "term string, weight double, times int, df double")
         return self.spark.createDataFrame([(t, float(sum(w)), len(w)) for t, w in total.items()], "term string, weight double, times int")
 
     def literal(self, name: str, terms: list[tuple[str, float]], boost: float, need: int = 0) -> DataFrame:
@@ -95,9 +97,12 @@ class Compiler:
         if not terms:
             return self.none()
         wanted = sorted({t for t, _ in terms})
-        stats = self.index.stats
+        stats, known = self.index.stats, self.index.dfs(name, wanted)
         hits = self.index.postings(name).where(F.col("term").isin(wanted))
-        df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df")).join(F.broadcast(self._rows(terms)), "term")
+        if known is None:
+            df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df")).join(F.broadcast(self._rows(terms)), "term")
+        else:
+            df = self._rows([(t, w) for t, w in terms if t in known], known)
         length = F.when(F.coalesce("dl", F.lit(0)) == 0, 1).otherwise(F.col("dl")).cast("double")
         score = self.index.scorer(F.col("tf").cast("double"), length, F.col("weight") * float(boost), F.lit(float(stats.docs)), F.col("df"), F.lit(float(stats.avgdl(name))))
         rows = hits.join(F.broadcast(df), "term").select("doc_id", "times", score.alias("score"))
@@ -123,7 +128,11 @@ class Compiler:
         wanted = sorted(set(terms))
         stats = self.index.stats
         hits = self.index.postings(n.field).where(F.col("term").isin(wanted))
-        first = hits.where(F.col("term") == terms[0]).agg(F.count("*").cast("double").alias("df"))
+        known = self.index.dfs(n.field, terms[:1])
+        if known is None:
+            first = hits.where(F.col("term") == terms[0]).agg(F.count("*").cast("double").alias("df"))
+        else:
+            first = self.spark.createDataFrame([(float(known.get(terms[0], 0)),)], "df double")
         spots = F.map_from_entries(F.collect_list(F.struct("term", "positions")))
         docs = hits.groupBy("doc_id").agg(spots.alias("at"), F.max(F.when(F.col("term") == terms[0], F.col("tf"))).alias("tf"), F.first("dl").alias("dl"), F.count("*").alias("n")).where(F.col("n") == len(wanted))
         rest = [F.col("at")[t] for t in terms[1:]]
@@ -134,12 +143,18 @@ class Compiler:
     # dictionary leaves
 
     def expanded(self, name: str, where, boost: float) -> DataFrame:
-        """Documents with any of the first 1000 terms, in byte order, that satisfy ``where``."""
+        """Documents with any of the first 1000 terms, in byte order, that satisfy ``where``.
+
+        Terms are found in the dictionary; their postings are then read by name.
+        """
         stats = self.index.stats
-        terms = self.index.term_stats(name).where(where).orderBy("term").limit(MOST_TERMS).withColumn("df", F.col("df").cast("double"))
+        found = [(r["term"], float(r["df"])) for r in self.index.term_stats(name).where(where).orderBy("term").limit(MOST_TERMS).collect()]
+        if not found:
+            return self.none()
+        terms = self.spark.createDataFrame(found, "term string, df double")
         length = F.when(F.coalesce("dl", F.lit(0)) == 0, 1).otherwise(F.col("dl")).cast("double")
         score = self.index.scorer(F.col("tf").cast("double"), length, F.lit(float(boost)), F.lit(float(stats.docs)), F.col("df"), F.lit(float(stats.avgdl(name))))
-        hits = self.index.postings(name).where(where).join(F.broadcast(terms), "term")  # 1000 rows at most
+        hits = self.index.postings(name).where(F.col("term").isin([t for t, _ in found])).join(F.broadcast(terms), "term")  # 1000 rows at most
         return hits.select("doc_id", score.alias("score")).groupBy("doc_id").agg(F.sum("score").alias("score"))
 
     def _prefix(self, n: q.Prefix) -> DataFrame:
@@ -189,13 +204,14 @@ class Compiler:
         return self.none()
 
     def _knn(self, n: q.KNN) -> DataFrame:
-        vec = array_literal(n.vector)
         size = sum(x * x for x in n.vector) ** 0.5
         k = n.k if n.k > 0 else 10
-        rows = self.index.vectors(n.field).where((F.size("vec") == len(n.vector)) & (F.col("norm") > 0))
-        near = rows.select("doc_id", (dot(F.col("vec"), vec) / (F.col("norm") * size)).alias("s")) if size else rows.select("doc_id", F.lit(0.0).alias("s"))
+        rows = self.index.nearest_cells(n) if n.probes else self.index.vectors(n.field)
+        rows = rows.where((F.size("vec") == len(n.vector)) & (F.col("norm") > 0))
+        near = rows.select("doc_id", (dot_with(F.col("vec"), n.vector) / (F.col("norm") * size)).alias("s")) if size else rows.select("doc_id", F.lit(0.0).alias("s"))
         top = near.where("s > 0").orderBy(F.desc(F.round("s", 9)), "doc_id").limit(k)
-        return top.crossJoin(F.broadcast(top.agg(F.max("s").alias("best")))).select("doc_id", (F.col("s") / F.col("best") * n.boost).alias("score"))
+        best = F.max("s").over(Window.partitionBy(F.lit(1)))  # of k rows
+        return top.select("doc_id", (F.col("s") / best * n.boost).alias("score"))
 
     # combinators
 
@@ -256,19 +272,47 @@ class BadPattern(ValueError):
     """A regular expression that is not valid."""
 
 
+_POSIX = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space", "blank": "Blank", "cntrl": "Cntrl", "graph": "Graph", "print": "Print", "xdigit": "XDigit"}
+_PART = re.compile(r"\\Q.*?(?:\\E|\Z)|\\.|\[:\^?\w+:\]|\(\?P?<?[=!]?|[*+?}]\+|.", re.S)
+
+
 def java_regex(spark, pattern: str) -> str:
-    """A linear-time-engine pattern for Java: named groups and POSIX classes translated, lookaround and backreferences refused."""
-    if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!]|<[=!])|\\[1-9])", pattern):
-        raise BadPattern(f"no lookaround or backreference: {pattern!r}")
-    out = pattern.replace("(?P<", "(?<")
-    for name, java in {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space"}.items():
-        out = out.replace(f"[:{name}:]", rf"\p{{{java}}}")
-    out = re.sub(r"(?<!\\)\$", r"\\z", out) if "[" not in out else out
+    """A linear-time-engine pattern for Java: named groups, POSIX classes and the end of the text translated; lookaround, backreferences, atomic groups and possessive repeats refused."""
+    out, inside, first = [], False, 0
+    for m in _PART.finditer(pattern):
+        t = m.group()
+        if t.startswith("\\"):
+            if not inside and re.fullmatch(r"\\[1-9kG]", t):
+                raise BadPattern(f"no backreference: {pattern!r}")
+            out.append({"\\z": "\\z", "\\Z": None, "\\C": None}.get(t, t))
+        elif inside:
+            name = _POSIX.get(t.strip("[:^]")) if t.startswith("[:") else None
+            if name:
+                out.append(rf"\{'P' if '^' in t else 'p'}{{{name}}}")
+            elif t == "]" and m.start() > first:
+                inside = False
+                out.append(t)
+            else:
+                out.append("\\" + t if t in "[]&" else t)
+        elif t == "[":
+            inside, first = True, m.end() + int(pattern[m.end() : m.end() + 1] == "^")  # a ] that comes first is a sign like others
+            out.append(t)
+        elif t.startswith("(?"):
+            if t[-1] in "=!" or pattern[m.end() : m.end() + 1] == ">":
+                raise BadPattern(f"no lookaround or atomic group: {pattern!r}")
+            out.append(t.replace("P<", "<"))
+        elif len(t) == 2 and t[1] == "+":
+            raise BadPattern(f"no possessive repeat: {pattern!r}")
+        else:
+            out.append(r"\z" if t == "$" else t)
+    if None in out:
+        raise BadPattern(f"not supported: {pattern!r}")
+    java = "".join(out)
     try:
-        spark._jvm.java.util.regex.Pattern.compile(out)
+        spark._jvm.java.util.regex.Pattern.compile(java)
     except Exception as e:
         raise BadPattern(f"not a regular expression: {pattern!r}") from e
-    return out
+    return java
 
 
 def compile_query(index: SearchIndex, node: q.Query) -> DataFrame:

@@ -133,12 +133,16 @@ class MatchNone(Query):
 
 @dataclass(frozen=True)
 class KNN(Query):
-    """The k most similar vectors of positive cosine, scored relative to the best."""
+    """The k most similar vectors of positive cosine, scored relative to the best.
+
+    ``probes`` 0 scans all vectors; else only so many cells of an index with cells are read.
+    """
 
     vector: tuple[float, ...]
     k: int = 10
     field: str = "_all"
     boost: float = 1.0
+    probes: int = 0
 
 
 @dataclass(frozen=True)
