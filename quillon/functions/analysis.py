@@ -2,15 +2,22 @@
 
 A tokenizer takes a string column to ``array<struct<term string, position int>>``,
 positions counting from 1.  Filters take such arrays to such arrays and never
-renumber.  Everything but the stemmer stays inside the JVM.
+renumber, so a position names a raw token of the tokenizer and thereby a place in the
+text: ``with_offsets`` adds byte offsets to any analyzer's tokens.  Everything but the
+stemmer and the offsets stays inside the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .stemmer import stem, stems
 
@@ -44,17 +51,19 @@ def truncate(text: Column) -> Column:
     return F.when(F.octet_length(text) <= MAX_BYTES, text).otherwise(F.decode(F.substring(F.encode(text, "UTF-8"), 1, MAX_BYTES), "UTF-8"))
 
 
-# tokenizers
+# tokenizers: ``pattern`` is what a raw token matches
+
+UNICODE, SPACED, CODE_RAW = r"[\p{L}\p{Nd}]+", r"[^\s\x{85}\p{Z}]+", r"[\p{L}\p{Nd}_.]+|[^\p{L}\p{Nd}_.\s\x{85}\p{Z}]"
 
 
 def unicode_tokens(text: Column) -> TokenArray:
     """Runs of letters and decimal digits."""
-    return number(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
+    return number(F.regexp_extract_all(text, F.lit(UNICODE), F.lit(0)))
 
 
 def whitespace_tokens(text: Column) -> TokenArray:
     """Runs of anything but Unicode white space."""
-    return number(F.regexp_extract_all(text, F.lit(r"[^\s\x{85}\p{Z}]+"), F.lit(0)))
+    return number(F.regexp_extract_all(text, F.lit(SPACED), F.lit(0)))
 
 
 def keyword_tokens(text: Column) -> TokenArray:
@@ -62,7 +71,6 @@ def keyword_tokens(text: Column) -> TokenArray:
     return number(F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>")))
 
 
-CODE_RAW = r"[\p{L}\p{Nd}_.]+|[^\p{L}\p{Nd}_.\s\x{85}\p{Z}]"
 _HUMP = r"(?<=.)(?=\p{Lu})(?:(?=\p{Lu}(?:\p{Ll}|\z))|(?<=\p{Ll}))"
 
 
@@ -80,6 +88,55 @@ def code_tokens(text: Column) -> TokenArray:
     return F.flatten(F.transform(raws, lambda r, i: F.transform(parts(r), lambda p: F.struct(p.alias("term"), (i + 1).cast("int").alias("position")))))
 
 
+for _f, _p in ((unicode_tokens, UNICODE), (whitespace_tokens, SPACED), (keyword_tokens, r"(?s).+"), (code_tokens, CODE_RAW)):
+    _f.pattern = _p  # type: ignore[attr-defined]
+
+
+def raw_spans(text: str, pattern: str) -> list[tuple[int, int]]:
+    """Byte ranges of a text's raw tokens, in order: that of position p is at p - 1."""
+    found = [m.span() for m in regex.finditer(pattern.replace(r"\x{85}", r"\x85"), text)]
+    if text.isascii() or not found:
+        return found
+    ends = np.concatenate(([0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])))
+    return [(int(ends[a]), int(ends[b])) for a, b in found]
+
+
+def added(df: DataFrame, inputs: dict[str, Column], out: str, kind: str, f: Callable) -> DataFrame:
+    """``df`` with a column that Python makes of the inputs of each row; a step of its own, as Spark does not find Python functions beside nested lambdas."""
+    held = {f"__in{k}_{out}": c for k, c in enumerate(inputs.values())}
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(kind))])
+    arrow = to_arrow_type(schema[out].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in names), strict=True)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in df_columns), pa.array([f(*r) for r in rows], arrow)], [*df_columns, out])
+
+    df_columns, names = df.columns, list(held)
+    return df.select(*df.columns, *(c.alias(k) for k, c in held.items())).mapInArrow(run, schema)
+
+
+def with_offsets(df: DataFrame, column: str, analyzer: Analyzer, out: str = "tokens") -> DataFrame:
+    """``df`` with an analyzer's tokens of a column, array<struct<term, position, start, end>>: each with the byte range of the raw token it comes from.
+
+    Ranges are those of the text after the analyzer's character filters; null for the
+    tokens of a tokenizer without a ``pattern``.
+    """
+    pattern, text = getattr(analyzer, "pattern", None), F.col(column)
+    for f in getattr(analyzer, "before", ()):
+        text = f(text)
+
+    def place(t: str | None, tokens: list[dict] | None) -> list[dict] | None:
+        if tokens is None:
+            return None
+        spans = raw_spans(t, pattern) if t and pattern else []
+        at = lambda p: spans[p - 1] if 0 < p <= len(spans) else (None, None)
+        return [{"term": x["term"], "position": x["position"], "start": at(x["position"])[0], "end": at(x["position"])[1]} for x in tokens]
+
+    inner = getattr(analyzer, "inner", analyzer)
+    return added(df, {"text": truncate(text), "tokens": inner(text)}, out, "array<struct<term:string,position:int,start:int,end:int>>", place)
+
+
 # token filters
 
 
@@ -159,21 +216,29 @@ def strip_punctuation(text: Column) -> Column:
 def chain(tokenizer: Analyzer, *filters: Filter, before: tuple[Filter, ...] = ()) -> Analyzer:
     """An analyzer: character filters, tokenizer, token filters."""
 
-    def run(text: Column) -> TokenArray:
-        for f in before:
-            text = f(text)
+    def inner(text: Column) -> TokenArray:
         tokens = tokenizer(truncate(text))
         for f in filters:
             tokens = f(tokens)
         return tokens
 
+    def run(text: Column) -> TokenArray:
+        for f in before:
+            text = f(text)
+        return inner(text)
+
+    run.pattern, run.before, run.inner = getattr(tokenizer, "pattern", None), before, inner  # type: ignore[attr-defined]
     return run
 
 
 def token_frequencies(tokens_df, doc_id: str = "doc_id", tokens: str = "tokens"):
-    """(doc_id, term, tf, positions) of a frame with a column of tokens."""
+    """(doc_id, term, tf, positions) of a frame with a column of tokens; starts and ends too where the tokens have offsets."""
     flat = tokens_df.select(doc_id, F.inline(tokens))
-    return flat.groupBy(doc_id, "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    spots = [F.sort_array(F.collect_list(c)).alias(f"{c}s") for c in ("position", "start", "end") if c in flat.columns]
+    return flat.groupBy(doc_id, "term").agg(F.count("*").cast("int").alias("tf"), *spots)
+
+
+STANDARD, SIMPLE = chain(unicode_tokens, lowercase, stop_words(), porter_stem), chain(unicode_tokens, lowercase)
 
 
 class NotRegistered(KeyError):
@@ -196,8 +261,8 @@ class Registry:
         for name, f in {"lowercase": lowercase, "stop_en": stop_words(), "porter_stem": porter_stem, "trim": trim_terms, "unique": unique}.items():
             self.set("token_filter", name, f)
         self.set("char_filter", "html", strip_html)
-        self.set("analyzer", "standard", chain(unicode_tokens, lowercase, stop_words(), porter_stem))
-        self.set("analyzer", "simple", chain(unicode_tokens, lowercase))
+        self.set("analyzer", "standard", STANDARD)
+        self.set("analyzer", "simple", SIMPLE)
         self.set("analyzer", "keyword", chain(keyword_tokens))
         self.set("analyzer", "whitespace", chain(whitespace_tokens))
         self.set("analyzer", "code", chain(code_tokens, lowercase, unique))
@@ -234,7 +299,7 @@ def analyze_text(spark, text: str, analyzer: str = "standard") -> list[str]:
     return [t["term"] for t in row["x"] or []]
 
 
-_BUILT_IN = {n: registry.get("analyzer", n) for n in ("standard", "simple")}
+_BUILT_IN = {"standard": STANDARD, "simple": SIMPLE}
 
 
 def _local(text: str, analyzer: str) -> list[str] | None:

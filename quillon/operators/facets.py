@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_SIZE, MOST_TERMS = 10_000, 100_000
+#: Terms of one facet that are collected; those beyond count as ``other``, with a warning.  ``term_counts`` has them all.
+MOST_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ def term_counts(postings: DataFrame, hits: DataFrame) -> DataFrame:
 def top_terms(counts: DataFrame, size: int) -> DataFrame:
     """The greatest counts, ties by term; all for a size of 0 or less."""
     ordered = counts.orderBy(F.desc("count"), "term")
-    return ordered.limit(min(size, MOST_SIZE)) if size > 0 else ordered.limit(MOST_TERMS)
+    return ordered.limit(size) if size > 0 else ordered
 
 
 def range_counts(values: DataFrame, hits: DataFrame, ranges: tuple[Range, ...]) -> DataFrame:
@@ -75,8 +77,14 @@ def build_facet(index, hits: DataFrame, want: FacetRequest) -> FacetResult:
         out.ranges = [(r.name, found[r.name]) for r in ranges]
         out.total = sum(n for _, n in out.ranges)
         return out
-    counts = term_counts(index.postings(want.field), hits)
-    out.terms = [(r["term"], r["count"]) for r in top_terms(counts, want.size).collect()]
-    out.total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).collect()[0][0]
+    counts = term_counts(index.postings(want.field), hits).persist()
+    try:
+        out.total, n = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).collect()[0]
+        size = want.size if want.size > 0 else n
+        if min(size, n) > MOST_TERMS:
+            warnings.warn(f"a facet lists at most {MOST_TERMS} of the {n} terms of {want.field!r}", stacklevel=3)
+        out.terms = [(r["term"], r["count"]) for r in top_terms(counts, max(1, min(size, MOST_TERMS))).collect()]
+    finally:
+        counts.unpersist()
     out.other = out.total - sum(n for _, n in out.terms)
     return out

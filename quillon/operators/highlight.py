@@ -1,24 +1,22 @@
 """Highlighting: fragments of a text around the terms of a query.
 
-Offsets are bytes of the UTF-8 text, as in the postings' source; fragment ends move to
-the next character boundary.  Only the rows of a result page are highlighted.
+The field's own analyzer, whichever it is, tells at which positions it makes one of the
+terms, and its tokenizer where those positions lie in the text.  Offsets are bytes of the
+UTF-8 text; fragment ends move to the next character boundary.  Only the rows of a result
+page are highlighted.
 """
 
 from __future__ import annotations
 
 import html
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analysis import ENGLISH_STOP_WORDS
-from ..functions.stemmer import stem
-
-_SPLIT = {"standard": r"[^\W_]+", "simple": r"[^\W_]+", "whitespace": r"\S+", "code": r"\w[\w.]*|[^\w\s]", "keyword": r"(?s).+"}
+from ..functions import analysis
+from ..functions.analysis import raw_spans
 
 
 @dataclass(frozen=True)
@@ -33,21 +31,6 @@ class Style:
 HTML, ANSI = Style(), Style("\033[1;33m", "\033[0m")
 
 
-def spots(text: str, terms: set[str], analyzer: str) -> list[tuple[int, int]]:
-    """Byte ranges of the words that the analyzer turns into one of the terms."""
-    out, at, seen = [], 0, 0
-    for m in re.finditer(_SPLIT.get(analyzer, _SPLIT["standard"]), text):
-        at += len(text[seen : m.start()].encode("utf-8", "surrogatepass"))
-        seen = m.start()
-        word = m.group()
-        low = word if analyzer in ("whitespace", "keyword") else word.lower()
-        if analyzer in ("standard", "") and low not in ENGLISH_STOP_WORDS:
-            low = stem(low)
-        if low in terms:
-            out.append((at, at + len(word.encode("utf-8", "surrogatepass"))))
-    return out
-
-
 def fragments(text: str, found: list[tuple[int, int]], style: Style = HTML) -> list[str]:
     """Fragments, each around the first match that no fragment before it holds."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -71,15 +54,45 @@ def fragments(text: str, found: list[tuple[int, int]], style: Style = HTML) -> l
     return out
 
 
-def highlight(text: Column, terms: list[str], analyzer: str = "standard", style: Style = HTML) -> Column:
-    """array<string>: the highlighted fragments of each text; empty where nothing is found."""
-    wanted = set(terms)
-
-    @F.pandas_udf("array<string>")
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(lambda t: fragments(t, spots(t, wanted, analyzer), style) if t else [])
-
-    return run(text)
+def spots(text: str, positions: list[int], pattern: str) -> list[tuple[int, int]]:
+    """Byte ranges of the raw tokens at some positions, each once."""
+    spans = raw_spans(text, pattern)
+    return [spans[p - 1] for p in sorted(set(positions)) if 0 < p <= len(spans)]
+
+
+def highlight(df: DataFrame, column: str, terms: list[str], analyzer: str = "standard", style: Style = HTML, out: str = "fragments") -> DataFrame:
+    """``df`` with array<string>: the highlighted fragments of a column; empty where nothing is found.
+
+    The fragments are of the text as the analyzer's character filters leave it.  With a
+    tokenizer that has no ``pattern``, whole terms are looked for in the text as they are.
+    """
+    own, text = analysis.registry.analyzer(analyzer), F.col(column)
+    for f in getattr(own, "before", ()):
+        text = f(text)
+    tokens = getattr(own, "inner", own)(text)
+    places = F.filter(tokens, lambda t: t["term"].isin(terms))["position"] if terms else F.array().cast("array<int>")
+    pattern, wanted = getattr(own, "pattern", None), sorted(set(terms), key=len, reverse=True)
+
+    def one(t: str | None, places: list[int] | None) -> list[str]:
+        if not t or not places:
+            return []
+        return fragments(t, spots(t, places, pattern) if pattern else occurrences(t, wanted), style)
+
+    return analysis.added(df, {"text": text, "places": places}, out, "array<string>", one)
+
+
+def occurrences(text: str, terms: list[str]) -> list[tuple[int, int]]:
+    """Byte ranges where terms stand in a text, in any case; the longest of those that overlap."""
+    low, out, taken = text.lower(), [], set()
+    for t in terms:
+        at = low.find(t) if t else -1
+        while at >= 0:
+            if not taken & set(range(at, at + len(t))):
+                taken |= set(range(at, at + len(t)))
+                size = lambda s: len(s.encode("utf-8", "surrogatepass"))
+                out.append((size(text[:at]), size(text[: at + len(t)])))
+            at = low.find(t, at + 1)
+    return sorted(out)
 
 
 Highlighter = Callable[[Column, list[str], str], Column]
