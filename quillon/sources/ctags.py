@@ -45,5 +45,24 @@ def format_tags(symbols: DataFrame) -> DataFrame:
     return symbols.select(fields.alias("value"))
 
 
+def tags_of(sources: DataFrame, language: str = "auto", extractor=None) -> DataFrame:
+    """name, file, kind, language, scope, signature, line of every symbol in (doc_id, value[, path][, _lang]) rows: what a tag file of them would hold."""
+    from ..operators.codesearch import symbols
+
+    path = "path" if "path" in sources.columns else "doc_id"
+    rows = symbols(sources, language, extractor).join(sources.select("doc_id", F.col(path).cast("string").alias("file")), "doc_id") if path != "doc_id" else symbols(sources, language, extractor).withColumn("file", F.col("doc_id").cast("string"))
+    return rows.select("file", F.inline("symbols")).select("name", "file", "kind", "language", "scope", "signature", "line")
+
+
+def tag_symbols(tags: DataFrame) -> DataFrame:
+    """(doc_id, symbols): the tags of each file as its symbols, ids made of paths; what ``symbol_postings`` takes."""
+    from ..operators.codesearch import SYMBOLS
+    from .files import path_id
+
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    one = F.struct("name", "kind", none("language").alias("language"), none("scope").alias("scope"), none("signature").alias("signature"), F.coalesce("line", F.lit(0)).alias("line"), F.lit(0).alias("start_byte"), F.lit(0).alias("end_byte"))
+    return tags.groupBy(path_id(F.col("file")).alias("doc_id")).agg(F.array_sort(F.collect_list(one)).cast(SYMBOLS).alias("symbols"))
+
+
 def write_tags(symbols: DataFrame, path: str) -> None:
     format_tags(symbols).sort("value").write.text(path)
