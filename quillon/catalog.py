@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,11 @@ from .index import SearchIndex, last_operations
 from .mapping import DocumentMapping, IndexMapping, boolean_field, code_field, datetime_field, keyword_field, mapped_fields, numeric_field, symbol_field, text_field, timestamps, vector_field
 from .operators import facets, highlight
 from .operators.codesearch import symbols
+from .operators.samples import SOURCES
 from .operators.scoring import bm25, tfidf
 from .operators.synonyms import synonym_filter
 from .plans.compiler import compile_query
-from .sources.ctags import format_tags, parse_tags
+from .sources.ctags import format_tags, parse_tags, tag_symbols, tags_of
 from .sources.json import json_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,9 +224,10 @@ SIZES = (facets.Range("short", None, 1000), facets.Range("middle", 500, 5000), f
 case("facet_filtered", PRE + f"r AS {HIT_IDS}, d AS (SELECT * FROM documents WHERE doc_id IN (FROM r)) SELECT 'short' AS name, count_if(n_chars <= 1000) AS count FROM d UNION ALL SELECT 'middle', count_if(n_chars BETWEEN 500 AND 5000) FROM d UNION ALL SELECT 'long', count_if(n_chars >= 5000) FROM d")(
     lambda spark, sf: facets.range_counts(documents(spark, sf).numbers("n_chars"), compile_query(documents(spark, sf), ALL_HITS), SIZES)
 )
-case("facet_numeric", "SELECT 'few' AS name, count_if(l_quantity <= 10) AS count FROM lineitem UNION ALL SELECT 'many', count_if(l_quantity >= 10) FROM lineitem")(
-    lambda spark, sf: facets.range_counts(read(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("doc_id"), F.col("l_quantity").alias("value")), read(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("doc_id")), (facets.Range("few", None, 10), facets.Range("many", 10, None)))
-)
+@case("facet_numeric", "WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity FROM lineitem), h AS (SELECT * FROM l WHERE id IN (SELECT id FROM l WHERE l_quantity BETWEEN 5 AND 30)) SELECT 'few' AS name, count_if(l_quantity <= 10) AS count FROM h UNION ALL SELECT 'many', count_if(l_quantity >= 10) FROM h")
+def facet_numeric(spark, sf):
+    index = SearchIndex.of(read(spark, sf, "lineitem").withColumn("doc_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), IndexMapping(DocumentMapping({"l_quantity": numeric_field()}, dynamic=False)))
+    return facets.range_counts(index.numbers("l_quantity"), compile_query(index, q.NumericRange(5.0, 30.0, "l_quantity")), (facets.Range("few", None, 10), facets.Range("many", 10, None)))
 
 
 @case("facet_date", "SELECT 'week1' AS name, count_if(ts <= TIMESTAMP '2024-01-07') AS count FROM events WHERE event_type = 'click' UNION ALL SELECT 'rest', count_if(ts >= TIMESTAMP '2024-01-07') FROM events WHERE event_type = 'click'")
@@ -264,9 +267,17 @@ def _cosine(spark, sf):
     return e.select("vec_id", F.round(cosine(F.col("embedding"), array_literal(vec)), 6).alias("sim"))
 
 
-@case("hybrid", scored("SELECT doc_id, m.s + coalesce(k.s, 0) AS s FROM m LEFT JOIN k USING (doc_id)", f"m AS (SELECT * FROM ({any_of('the')}) WHERE doc_id IN (SELECT vec_id FROM embeddings)), k AS (SELECT vec_id AS doc_id, sim / max(sim) OVER () AS s FROM (SELECT * FROM ({_SIM}) WHERE sim > 0 AND vec_id IN (SELECT doc_id FROM documents) ORDER BY round(sim, 9) DESC, vec_id LIMIT 50)),").replace("FROM documents)),", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))),", 1).replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"))
+@case("knn_probed", _knn_sql(10))
+def knn_probed(spark, sf):
+    """KNN over clustered vectors; reading all cells it is exact."""
+    index, node = _knn(spark, sf, 10)
+    clustered = _index(spark, sf, "clustered", lambda: index.with_cells("embedding", 12))
+    return hits(clustered, replace(node, probes=12))
+
+
+@case("hybrid", scored("SELECT doc_id, m.s + coalesce(k.s, 0) AS s FROM m LEFT JOIN k USING (doc_id)", f"m AS ({any_of('the')}), k AS (SELECT vec_id AS doc_id, sim / max(sim) OVER () AS s FROM (SELECT * FROM ({_SIM}) WHERE sim > 0 AND vec_id IN (SELECT doc_id FROM documents) ORDER BY round(sim, 9) DESC, vec_id LIMIT 50)),"))
 def hybrid(spark, sf):
-    rows = read(spark, sf, "documents").join(read(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    rows = read(spark, sf, "documents").join(read(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     m = IndexMapping(DocumentMapping({"text": text_field("simple"), "embedding": vector_field(64)}, dynamic=False))
     _, knn = _knn(spark, sf, 50)
     return hits(_index(spark, sf, "hybrid", lambda: SearchIndex.of(rows, m)), q.Boolean((q.Term("the", "text"),), (knn,)))
@@ -283,7 +294,7 @@ def tokens_case(name: str, analyzer: a.Analyzer, terms_sql: str, table: str = "d
 tokens_case("tokenize_unicode", a.unicode_tokens, r"regexp_extract_all(text, '[\p{L}\p{Nd}]+')")
 tokens_case("tokenize_whitespace", a.whitespace_tokens, r"regexp_extract_all(text, '[^\s\x{85}\p{Z}]+')")
 tokens_case("tokenize_simple", a.registry.analyzer("simple"), r"list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: lower(x))")
-tokens_case("tokenize_keyword", a.keyword_tokens, "CASE WHEN length(source) > 0 THEN [source] ELSE [] END", col="source")
+tokens_case("tokenize_keyword", a.keyword_tokens, "CASE WHEN length(text) > 0 THEN [text] ELSE [] END")
 tokens_case("html_strip", a.chain(a.whitespace_tokens, before=(a.strip_html,)), r"regexp_extract_all(replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '<(.|\n)*$', ''), '>', ' '), '[^\s\x{85}\p{Z}]+')", "pages", "page_id", "html")
 tokens_case("punct_strip", a.chain(a.whitespace_tokens, before=(a.strip_punctuation,)), r"regexp_extract_all(regexp_replace(text, '\p{P}', ' ', 'g'), '[^\s\x{85}\p{Z}]+')")
 tokens_case("trim_filter", a.chain(a.keyword_tokens, a.trim_terms), r"CASE WHEN length(x) > 0 THEN [trim(x, chr(32) || chr(9) || chr(10) || chr(13))] ELSE [] END".replace("x", "text"))
@@ -443,36 +454,77 @@ def datetime_layouts(spark, sf):
 
 # code
 
-SOURCE = "package main\n\ntype Store struct {\n}\n\nfunc (s *Store) Get(k string) string {\n}\n\nfunc main() {\n}\n"
+LANGUAGES = sorted(SOURCES)
+
+
+def sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a source file: a sample in one language after the other, with a line of its own in front."""
+    d = read(spark, sf, "documents")
+    samples = spark.createDataFrame([(k, name, SOURCES[name][0]) for k, name in enumerate(LANGUAGES)], "k long, _lang string, body string")
+    own = F.concat(F.lit("// "), F.col("source"), F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n"))
+    return d.withColumn("k", F.col("doc_id") % len(LANGUAGES)).join(F.broadcast(samples), "k").select("doc_id", F.concat(own, "body").alias("value"), "_lang")  # ten samples
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_FOUND = ", ".join(f"({k}, {_quoted(lang)}, {_quoted(n)}, '{kind}', '{scope}', {line + 1})" for k, lang in enumerate(LANGUAGES) for n, kind, scope, line in SOURCES[lang][1])
+SYMBOLS_SQL = f"SELECT doc_id, lang AS language, name, kind, scope, line FROM (SELECT doc_id, doc_id % {len(LANGUAGES)} AS k FROM documents) JOIN (VALUES {_FOUND}) v(k, lang, name, kind, scope, line) USING (k)"
 
 
-@case("symbols_regex", "SELECT doc_id, name, kind, scope, line FROM (SELECT doc_id FROM documents), (VALUES ('main', 'function', '', 9), ('Store', 'struct', '', 3), ('Get', 'method', 'Store', 6)) v(name, kind, scope, line)")
+@case("symbols_regex", SYMBOLS_SQL)
 def symbols_regex(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", F.lit(SOURCE).alias("value"))
-    return symbols(rows, "go").select("doc_id", F.inline("symbols")).select("doc_id", "name", "kind", "scope", "line")
+    return symbols(sources(spark, sf)).select("doc_id", F.inline("symbols")).select("doc_id", "language", "name", "kind", "scope", "line")
 
 
-@case("symbol_query", "SELECT doc_id, round(ln(1 + (n - n + 0.5) / (n + 0.5)) * 2.2 / (1 + 1.2), 6) AS score FROM documents, (SELECT count(*) AS n FROM documents)")
+@case("symbol_query", f"WITH x AS ({SYMBOLS_SQL}), n AS (SELECT count(*) AS n FROM documents), len AS (SELECT doc_id, count(*) AS dl FROM x GROUP BY doc_id), a AS (SELECT sum(dl) / (SELECT n FROM n) AS avgdl FROM len), h AS (SELECT doc_id, count(*) AS tf FROM x WHERE lower(name) = 'total' GROUP BY doc_id) SELECT doc_id, round(ln(1 + (n - (SELECT count(*) FROM h) + 0.5) / ((SELECT count(*) FROM h) + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM h JOIN len USING (doc_id), n, a")
 def symbol_query(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", F.lit(SOURCE).alias("src"))
-    return hits(SearchIndex.of(rows, IndexMapping(DocumentMapping({"src": symbol_field("go")}, dynamic=False))), q.Term("store", "src.scope"))
+    rows = sources(spark, sf).withColumnRenamed("value", "src")
+    return hits(SearchIndex.of(rows, IndexMapping(DocumentMapping({"src": symbol_field()}, dynamic=False))), q.Term("total", "src.sym"))
 
 
-@case("code_query", "SELECT doc_id, round(ln(1 + 0.5 / (n + 0.5)) * 2.2 / (1 + 1.2), 6) AS score FROM documents, (SELECT count(*) AS n FROM documents)")
+@case("symbol_scope_query", f"WITH x AS ({SYMBOLS_SQL}), n AS (SELECT count(*) AS n FROM documents), h AS (SELECT DISTINCT doc_id FROM x WHERE lower(scope) = 'cart') SELECT doc_id, round(ln(1 + (n - (SELECT count(*) FROM h) + 0.5) / ((SELECT count(*) FROM h) + 0.5)) * 2.2 / (1 + 1.2), 6) AS score FROM h, n")
+def symbol_scope_query(spark, sf):
+    rows = sources(spark, sf).withColumnRenamed("value", "src")
+    return hits(SearchIndex.of(rows, IndexMapping(DocumentMapping({"src": symbol_field()}, dynamic=False))), q.Term("cart", "src.scope"))
+
+
+@case("symbol_frequencies", f"SELECT lower(name) AS term, count(DISTINCT doc_id) AS df FROM ({SYMBOLS_SQL}) GROUP BY ALL")
+def symbol_frequencies(spark, sf):
+    rows = sources(spark, sf).withColumnRenamed("value", "src")
+    return SearchIndex.of(rows, IndexMapping(DocumentMapping({"src": symbol_field()}, dynamic=False))).term_stats("src.sym")
+
+
+@case("code_query", f"{_CODE}, p AS (SELECT DISTINCT doc_id, lower(unnest({_CODE_PARTS})) AS term FROM h), len AS (SELECT doc_id, count(*) AS dl FROM p GROUP BY doc_id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM p) / (SELECT count(*) FROM documents) AS avgdl), df AS (SELECT count(*) AS df FROM p WHERE term = 'the') SELECT doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM p JOIN len USING (doc_id), st, df WHERE term = 'the'")
 def code_query(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", F.lit("func getUserName(user_id int)").alias("src"))
-    return hits(SearchIndex.of(rows, IndexMapping(DocumentMapping({"src": code_field()}, dynamic=False))), q.Match("user", "src", analyzer="code"))
+    rows = read(spark, sf, "documents").select("doc_id", "text")
+    return hits(SearchIndex.of(rows, IndexMapping(DocumentMapping({"text": code_field()}, dynamic=False))), q.Match("the", "text", analyzer="code"))
 
 
-@case("ctags", "SELECT 'name' || doc_id AS name, source || '.go' AS file, 'function' AS kind, CAST(n_chars AS INTEGER) AS line, 'Go' AS language, lang AS scope FROM documents")
+@case("ctags", f"SELECT CAST(doc_id AS VARCHAR) AS file, language, name, kind, nullif(scope, '') AS scope, line FROM ({SYMBOLS_SQL})")
 def ctags(spark, sf):
-    d = read(spark, sf, "documents")
-    rows = d.select(F.concat(F.lit("name"), "doc_id").alias("name"), F.concat("source", F.lit(".go")).alias("file"), F.lit("function").alias("kind"), F.lit("Go").alias("language"), F.col("lang").alias("scope"), F.lit("").alias("signature"), F.col("n_chars").cast("int").alias("line"))
-    return parse_tags(format_tags(rows)).select("name", "file", "kind", "line", "language", "scope")
+    return parse_tags(format_tags(tags_of(sources(spark, sf)))).select("file", "language", "name", "kind", "scope", "line")
+
+
+@case("tag_symbols", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, name, kind, scope, line FROM ({SYMBOLS_SQL})")
+def tag_symbols_of(spark, sf):
+    """Symbols of documents taken from tags rather than from sources."""
+    return tag_symbols(parse_tags(format_tags(tags_of(sources(spark, sf))))).select("doc_id", F.inline("symbols")).select("doc_id", "name", "kind", "scope", "line")
+
+
+@case(
+    "token_offsets",
+    r"""WITH p AS (SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+') AS x FROM documents)),
+o AS (SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p)
+SELECT doc_id, lower(piece) AS term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS position, CAST(e - strlen(piece) AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end" FROM o WHERE regexp_matches(piece, '^[\p{L}\p{Nd}]')""",
+)
+def token_offsets(spark, sf):
+    return a.with_offsets(read(spark, sf, "documents").select("doc_id", "text"), "text", a.registry.analyzer("simple")).select("doc_id", F.inline("tokens"))
 
 
 @case("highlight")
 def highlighted(spark, sf):
     index = documents(spark, sf)
     page = s.stored(index, s.top_hits(compile_query(index, MAIN)), ("text",))
-    return page.select("doc_id", highlight.highlight(F.col("text"), ["the", "orantion"], "simple").alias("fragments"))
+    return highlight.highlight(page, "text", ["the", "orantion"], "simple").select("doc_id", "fragments")

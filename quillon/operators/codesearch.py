@@ -63,9 +63,9 @@ _language("typescript", r"""
     enum ^~export~enum\s+NAME
 """, "javascript")
 _language("java", r"""
-    class (?:abstract|protected|private|public)?\s*class\s+NAME
-    interface (?:abstract|protected|private|public)?\s*interface\s+NAME
-    enum (?:abstract|protected|private|public)?\s*enum\s+NAME
+    class (?:public|private|protected|abstract)?\s*class\s+NAME
+    interface (?:public|private|protected|abstract)?\s*interface\s+NAME
+    enum (?:public|private|protected|abstract)?\s*enum\s+NAME
     method (?:final|synchronized|abstract|static|protected|private|public)\s+[\w\s<>,\[\]]+\s+NAME\s*\(
     method ^\s*NAME\s*[(][^)]*[)]\s*[{]
     field [\w<>\[\]]+\s+NAME\s*=
@@ -247,6 +247,28 @@ def ast_symbols(root: Node, language: str) -> list[Symbol]:
     return out
 
 
+def ast_extractor(parse: Callable[[str, str], Node | None], fallback: Extractor | None = None) -> Extractor:
+    """An extractor that parses with the caller's parser; a source that it has no tree for goes to ``fallback``."""
+
+    def run(source: str, language: str) -> list[Symbol]:
+        root = parse(source, resolve_language(language))
+        if root is None:
+            return fallback(source, language) if fallback else []
+        return ast_symbols(root, resolve_language(language))
+
+    return run
+
+
+def tag_field_indexer(tags: DataFrame) -> Callable[[DataFrame, object], DataFrame]:
+    """A field indexer that takes the symbols of each document from a table of tags instead of its source."""
+    from ..sources.ctags import tag_symbols
+
+    def run(raw: DataFrame, f) -> DataFrame:
+        return symbol_postings(tag_symbols(tags).join(raw.select("doc_id"), "doc_id", "left_semi"), f.name)
+
+    return run
+
+
 def composite(*extractors: Extractor) -> Extractor:
     """All extractors' symbols, the first of each (name, kind); one that fails is skipped."""
 
