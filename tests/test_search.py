@@ -87,15 +87,6 @@ def test_request(index):
     assert beyond.total == 4 and beyond.hits.count() == 0
 
 
-def test_highlight_escapes(spark):
-    from quillon.operators.highlight import Style, fragments, spots
-
-    text = "<b>Tür</b> & the fox " + "x" * 200 + " fox"
-    found = spots(text, {"fox"}, "standard")
-    got = fragments(text, found, Style("[", "]"))
-    assert got[0].startswith("&lt;b&gt;Tür&lt;/b&gt; &amp; the [fox]") and got[0].endswith("...") and got[1].startswith("...")
-
-
 def test_changes_and_storage(spark, index, tmp_path):
     fresh = spark.createDataFrame([Row(doc_id="a", title="new", body="unicorn", author="eve", rating=2.0), Row(doc_id="e", title="x", body="unicorn", author="eve", rating=2.0)])
     changed = index.index(fresh).delete(spark.createDataFrame([("d",), ("nobody",)], "doc_id string"))
@@ -107,7 +98,7 @@ def test_changes_and_storage(spark, index, tmp_path):
         kept.document("d")
     meta = tmp_path / "ix" / "meta.json"
     (tmp_path / "ix" / ".meta.json.crc").unlink(missing_ok=True)
-    meta.write_text(meta.read_text().replace('"version": "1"', '"version": "9"'))
+    meta.write_text(meta.read_text().replace('"version": "2"', '"version": "9"'))
     with pytest.raises(IndexVersionError):
         SearchIndex.open(spark, str(tmp_path / "ix"))
 
@@ -143,4 +134,69 @@ def test_plans(spark, index):
     from quillon.search import top_hits
 
     plan = top_hits(compile_query(index, q.Match("fox", "body")))._jdf.queryExecution().toString()
-    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan
+
+
+def test_plugins(spark):
+    docs = spark.createDataFrame(DOCS)
+
+    class Even(q.Query):
+        """A custom query: documents of an even rating."""
+
+        def compile(self, compiler):
+            return compiler.index.numbers("rating").where("value % 2 = 0").select("doc_id", F.lit(3.0).alias("score"))
+
+    def reversed_terms(raw, f):
+        return raw.select(F.reverse("value").alias("term"), "doc_id", F.lit(1).alias("tf"), F.lit(1).alias("dl"), F.lit(None).cast("array<int>").alias("positions"), F.lit(f.name).alias("field"))
+
+    seen = []
+    m = IndexMapping(DocumentMapping({"author": keyword_field(), "rating": numeric_field()}))
+    ix = SearchIndex.of(docs, m, plugins={"field_indexers": {"keyword": reversed_terms}, "facet_builder": lambda index, hits, want: seen.append((want.field, hits.count())) or "mine"}, scorer=lambda tf, dl, boost, n, df, avg: tf * boost)
+    assert ids(ix, q.Term("nna", "author")) == {"a": 1.0, "c": 1.0}  # own field indexer, own scorer
+    assert ids(ix, Even()) == {} and ids(ix, q.Boolean((q.MatchAll(),), must_not=(Even(),))).keys() == {"a", "b", "c", "d"}
+    assert search(ix, SearchRequest(q.MatchAll(), facets={"f": FacetRequest("author")})).facets == {"f": "mine"} and seen == [("author", 4)]
+    with pytest.raises(TypeError):
+        ids(ix, q.Query())
+    q.register_query("even", lambda p: Even())
+    assert ids(ix, q.named_query("even", {})) == {}
+
+
+def test_facets_by_force(spark):
+    from collections import Counter
+
+    from quillon.operators import facets
+
+    rows = [(i, f"k{i % 7}" if i % 11 else "rare" + str(i), float(i % 13), dt.datetime(2024, 1, 1 + i % 28)) for i in range(300)]
+    ix = SearchIndex.of(spark.createDataFrame(rows, "doc_id long, k string, n double, t timestamp"), IndexMapping(DocumentMapping({"k": keyword_field(), "n": numeric_field()})))
+    hits = compile_query(ix, q.NumericRange(3.0, 9.0, "n"))
+    inside = [r for r in rows if 3 <= r[2] <= 9]
+    count = Counter(r[1] for r in inside)
+    best = sorted(count.items(), key=lambda x: (-x[1], x[0]))
+    got = facets.build_facet(ix, hits, FacetRequest("k", 4))
+    assert got.terms == best[:4] and got.total == len(inside) and got.other == len(inside) - sum(n for _, n in best[:4]) and got.missing == 0
+    assert facets.build_facet(ix, hits, FacetRequest("k", 0)).terms == best
+    days = (Range("early", None, dt.datetime(2024, 1, 9)), Range("all"), Range("late", dt.datetime(2024, 1, 9), None))
+    got = facets.build_facet(ix, hits, FacetRequest("t", date_ranges=days))
+    assert got.ranges == [("early", sum(r[3] <= dt.datetime(2024, 1, 9) for r in inside)), ("all", len(inside)), ("late", sum(r[3] >= dt.datetime(2024, 1, 9) for r in inside))]
+    none = facets.build_facet(ix, ix.doc_ids().where("false"), FacetRequest("k"))
+    assert none.terms == [] and none.total == 0
+
+
+def test_symbols_of_a_document(spark):
+    from quillon.mapping import symbol_field
+
+    ix = SearchIndex.of(spark.createDataFrame([("a", "class A:\n  def f(self): pass\n", "python"), ("b", "fn go() {}\n", "rust")], "doc_id string, src string, _lang string"), IndexMapping(DocumentMapping({"src": symbol_field()}, dynamic=False)))
+    found = ix.symbols_of("src", "a").collect()
+    assert [(s["name"], s["kind"]) for s in found[0]["symbols"]] == [("A", "class"), ("f", "method")]
+    assert ix.symbols_of("src", "nobody").count() == 0 and [s["language"] for s in ix.symbols_of("src", "b").collect()[0]["symbols"]] == ["rust"]
+    with pytest.raises(DocumentNotFound):
+        SearchIndex.of(spark.createDataFrame([("a", "x")], "doc_id string, t string")).symbols_of("t", "a")
+
+
+def test_static_and_stored_fields(spark):
+    rows = spark.createDataFrame([Row(doc_id="a", t="fox", u="dog", v="cat")])
+    m = IndexMapping(DocumentMapping({"t": text_field("simple"), "u": keyword_field()}, dynamic=False))
+    ix = SearchIndex.of(rows, m)
+    assert ix.tables["docs"].columns == ["doc_id", "t", "u"] and ids(ix, q.Term("cat", "v")) == {}
+    assert ids(ix, q.Term("dog", "u")).keys() == {"a"} and ix.document("a") == {"doc_id": "a", "t": "fox", "u": "dog"}
+    ix.close()
