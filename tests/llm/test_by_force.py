@@ -115,7 +115,7 @@ def test_toxicity_query_by_force(spark):
     z = (x[t == 1].sum(0) / n1 - x[t == 0].sum(0) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     scale = np.minimum(1, (z / toxicity.SURE) ** 2)
     w, bias, m1, m2 = np.zeros(len(place)), 0.0, 0.0, 0.0
-    for k in range(1, 301):
+    for k in range(1, toxicity.STEPS + 1):
         r = (1 / (1 + np.exp(-(bias + x @ (scale * w)).clip(-50, 50))) - t) * share
         g = np.append(scale * (x.T @ r) + toxicity.RIDGE * w, r.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
@@ -246,3 +246,52 @@ def test_string_ids_in_every_operator(spark):
     assert urlfilter.apply_rules(urls, rules.limit(0)).count() == 0
     records = spark.createDataFrame([("r1", "a.com", 1, 200), ("r2", "a.com", 2, 304)], "record_id string, url string, t int, status int").selectExpr("record_id", "url", "timestamp_seconds(t) AS ts", "status", "CAST(NULL AS map<string,string>) AS headers")
     assert [(r["record_id"], r["target_id"]) for r in warc.resolve(records).collect()] == [("r2", "r1")]
+
+
+def test_decontamination_query_by_force(spark):
+    """Every passage against every item: BM25, shared word sequences and edits, without an index."""
+    from quillon.llm import decontam
+
+    items = {r["item_id"]: r["text"] for r in rows_of(spark, "benchmark")}
+    split = lambda t: WORD.findall(t.lower())
+    tf = {i: Counter(split(t)) for i, t in items.items()}
+    size = {i: sum(c.values()) for i, c in tf.items()}
+    n, avg = len(items), sum(size.values()) / len(items)
+    df = Counter(w for c in tf.values() for w in c)
+    gain = {i: {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (decontam.K1 + 1) / (c + decontam.K1 * (1 - decontam.B + decontam.B * size[i] / avg)) for w, c in tf[i].items()} for i in items}
+    whole = {i: sum(g.values()) for i, g in gain.items()}
+    half = max(decontam.PASSAGE, *size.values())
+
+    def edits(want, passage):
+        row = [0] * (len(passage) + 1)
+        for x in want:
+            new = [row[0] + 1]
+            for k, y in enumerate(passage):
+                new.append(min(row[k] + (x != y), row[k + 1] + 1, new[k] + 1))
+            row = new
+        return min(row)
+
+    def share(part, passage):
+        if not part:
+            return 1.0
+        m = min(decontam.GRAM, len(part))
+        have = {tuple(passage[k : k + m]) for k in range(len(passage) - m + 1)}
+        want = {tuple(part[k : k + m]) for k in range(len(part) - m + 1)}
+        kept = len(want & have) / len(want)
+        return kept if kept == 1 else max(kept, 1 - edits(part, passage) / len(part))
+
+    best = {}
+    for d in rows_of(spark, "documents"):
+        w = split(d["text"])
+        for k in range(max(1, -(-len(w) // half))):
+            passage = w[k * half : (k + 2) * half]
+            seen = set(passage)
+            for i in items:
+                score = sum(g for x, g in gain[i].items() if x in seen) / whole[i]
+                if score >= decontam.THRESHOLD - 1e-9:
+                    parts = [share(split(p), passage) for p in decontam.split_item(items[i])]
+                    if min(parts) >= decontam.OVERLAP:
+                        best[d["doc_id"], i] = max(best.get((d["doc_id"], i), (0, 0, 0)), (score, *parts))
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["question_overlap"], r["answer_overlap"]) for r in QUERIES["op3_decontamination"](spark, FOLDER).collect()}
+    assert set(got) == set(best) and len(got) >= 3
+    assert all(abs(a - b) < 1e-5 for k in got for a, b in zip(got[k], best[k], strict=True))

@@ -256,7 +256,7 @@ def test_url_rules_by_force(spark):
     hosts = ["com,a,", "com,a,m,", "com,b,", "org,a,"]
     paths = ["", "/", "/x", "/x/y", "/xy", "/x/y/z"]
     rules = [(i, rnd.choice(hosts) + rnd.choice(paths), rnd.choice(["allow", "block", None])) for i in range(14)] + [(90, "com,", "review"), (91, None, "x"), (None, "com", "x")]
-    urls = [(i, "http://" + ".".join(reversed(rnd.choice(hosts)[:-1].split(","))) + rnd.choice(paths) + rnd.choice(["", "?q", "#f"]), 5) for i in range(300)] + [(400, None, 1), (None, "http://a.com/", 1), (401, "", 1), (7, "http://a.com/x", 1)]
+    urls = [(i, "http://" + ".".join(reversed(rnd.choice(hosts)[:-1].split(","))) + rnd.choice(paths) + rnd.choice(["", "?q", "#f"]), 5) for i in range(300)] + [(400, None, 1), (None, "http://a.com/", 1), (401, "", 1), (402, "http://a.com/x/" + "y" * 50_000, 1), (7, "http://a.com/x", 1)]
     got = urlfilter.apply_rules(spark.createDataFrame(urls, "page_id long, url string, depth int"), spark.createDataFrame(rules, "rule_id long, prefix string, action string"), rows=20)
     want = Counter()
     key = lambda u: ",".join(reversed(u.split("//")[-1].split("?")[0].split("#")[0].split("/")[0].split("."))) + "," + "".join("/" + x for x in u.split("//")[-1].split("?")[0].split("#")[0].split("/")[1:])
