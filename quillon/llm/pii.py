@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import chunks, discard, fresh, materialise, type_of
@@ -98,14 +98,15 @@ CUES: dict[str, int] = (
 CANDIDATE = re.compile(
     r"[\w.+-]*\w@\w[\w-]*(?:\.[\w-]*\w)+"  # with an at-sign
     r"|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"  # four parts
-    r"|(?<![\w:])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}[0-9A-Fa-f](?![\w:])"  # colons and hexadecimal digits
+    r"|(?<![\w:])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*(?![\w:])"  # colons and hexadecimal digits
     r"|(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"  # a country, two digits and groups of four
     r"|(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}(?!\d)"  # with a bracketed area
     r"|(?<![\w-])\d{9,}(?![\w-])"  # an unbroken number
     r"|(?<!\w)[A-Za-z0-9_\-]{20,}(?!\w)"  # long tokens
     r"|\+?\d(?:[ .-]?\d)+"  # digits, perhaps in groups
 )
-_MAY_HOLD = r"\p{Nd}|@|[A-Za-z0-9_\-]{20}|[A-Fa-f]:|:[A-Fa-f]|(?i)(?:token|key|secret|password|passwd|pwd|auth|bearer|credentials?)[\"']?\s*[:=]"
+#: What a text needs to hold a candidate: a digit, an at-sign or a long token, or, where it has a colon or =, one of these signs in their places.
+_PLAIN, _SIGNED = r"\p{Nd}|@|[A-Za-z0-9_\-]{20}", r":[0-9A-Fa-f]{0,4}:|(?:[Tt][Oo][Kk][Ee][Nn]|[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss]|[Pp][Ww][Dd]|[Aa][Uu][Tt][Hh]|[Bb][Ee][Aa][Rr][Ee][Rr]|[Cc][Rr][Ee][Dd][Ee][Nn])\w*[\"']?\s*[:=]"
 _VALUE = re.compile(r"[:=]>?[ \t]*[\"']?([^\s\"'`,;<>()\[\]{}]{4,})")
 _QUADS, _NUMERIC, _HEX = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"), re.compile(r"[\d +().-]+"), re.compile(r"[0-9a-fA-F]{20,}")
 _ASSIGN, _GROUP, _NO_DIGIT = re.compile(r"[:=]>?\s*[\"']?$"), re.compile(r"[ ().-]"), re.compile(r"\D")
@@ -200,6 +201,11 @@ def votes(text: str, s: int, e: int, gaz: Gazetteers = GAZETTEERS) -> list[int]:
     return v + shape
 
 
+def _may_hold(text: Column) -> Column:
+    """Whether a text can hold a candidate; told in the JVM, so that Python reads no other."""
+    return text.rlike(_PLAIN) | ((F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & text.rlike(_SIGNED))
+
+
 def candidates(docs: DataFrame, gaz: Gazetteers = GAZETTEERS) -> DataFrame:
     """(doc_id, begin, end, pattern) of each candidate, of rows with a null id too; pattern: its votes and features."""
 
@@ -212,7 +218,7 @@ def candidates(docs: DataFrame, gaz: Gazetteers = GAZETTEERS) -> DataFrame:
             ids = b.column("doc_id").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(patterns, pa.list_(pa.int32()))], ["doc_id", "begin", "end", "pattern"])
 
-    rows = docs.select("doc_id", "text").where(F.col("text").rlike(_MAY_HOLD))
+    rows = docs.select("doc_id", "text").where(_may_hold(F.col("text")))
     return rows.mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, begin int, end int, pattern array<int>")
 
 
@@ -309,13 +315,15 @@ def redact(docs: DataFrame, gaz: Gazetteers = GAZETTEERS) -> DataFrame:
     kinds = {tuple(p): k for p, k, _ in decisions(candidates(docs, gaz))}
 
     def put(text: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else _redacted(t, kinds, gaz) for t in text.to_pylist()], pa.string())
+        """The texts that change, as they become; null for the others."""
+        new = [None if t is None else _redacted(t, kinds, gaz) for t in text.to_pylist()]
+        return pa.array([None if a == b else a for a, b in zip(new, text.to_pylist(), strict=True)], pa.string())
 
     key = fresh(docs, "__text")
-    out = docs.withColumn(key, F.arrow_udf(put, "string")("text"))
+    out = docs.withColumn(key, F.arrow_udf(put, "string")(F.when(_may_hold(F.col("text")), F.col("text"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(key).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(key).cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.col(key)).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(key).isNull(), F.col("n_chars")).otherwise(F.length(key).cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("text", F.coalesce(key, "text")).select(*docs.columns)
 
 
 def _redacted(text: str, kinds: dict[tuple[int, ...], str], gaz: Gazetteers = GAZETTEERS) -> str:
