@@ -27,7 +27,7 @@ from .common import chunks, type_of
 
 #: The pre-splitting of byte_bpe_50k: contractions, runs of letters, digits or other characters with a blank before, white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE, CACHE_CHARS = 500_000, 40
+CACHE, CACHE_CHARS = 300_000, 40
 _BLANKS = regex.compile(r"\s\s")
 UNKNOWN = "\ufffd".encode()
 
@@ -121,6 +121,8 @@ class Bpe:
                 key = last[start] << 32 | token
                 ok = fit.get(key)
                 if ok is None:
+                    if len(fit) >= CACHE:
+                        fit.clear()
                     ok = fit[key] = self.compatible(last[start], token)
                 if not ok:
                     continue
@@ -131,19 +133,22 @@ class Bpe:
             at = back[at]
         return tuple(reversed(out))
 
+    def _known(self, p: str) -> tuple[int, ...]:
+        """Ids of one piece, remembered where it is short."""
+        ids = self.cache.get(p)
+        if ids is None:
+            ids = self.piece(p.encode("utf-8", "surrogatepass").decode("latin-1"))
+            if len(p) <= CACHE_CHARS:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[p] = ids
+        return ids
+
     def pieces(self, text: str) -> list[int]:
         """Ids of a text, split by the pattern."""
         out: list[int] = []
-        cache = self.cache
         for p in self.pattern.findall(text):
-            ids = cache.get(p)
-            if ids is None:
-                ids = self.piece(p.encode("utf-8", "surrogatepass").decode("latin-1"))
-                if len(p) <= CACHE_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[p] = ids
-            out += ids
+            out += self._known(p)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -159,7 +164,8 @@ class Bpe:
         for u in rest:
             ids = units.get(u)
             if ids is None:
-                ids = tuple(self.pieces(" " + u))
+                parts = self.pattern.findall(" " + u)
+                ids = self._known(parts[0]) if len(parts) == 1 else tuple(i for p in parts for i in self._known(p))  # a word alone is held once
                 if len(u) <= CACHE_CHARS:
                     if len(units) >= CACHE:
                         units.clear()
