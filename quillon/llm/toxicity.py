@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from .common import BYTE, POS, Words, chunks, labelled, member, mix, sieve, type_of, words
 
-MAX_TRAIN, RIDGE, SWAP, SURE = 20_000, 1e-4, 1.0, 4.0
+MAX_TRAIN, RIDGE, SWAP, SURE, STEPS = 20_000, 1e-4, 1.0, 4.0, 100
 #: Lists of interchangeable identity terms.
 IDENTITY = (
     ("person", "woman", "man", "transgender", "gay", "lesbian", "straight", "bisexual", "queer"),
@@ -87,7 +87,7 @@ def effects(pairs: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]
     return [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in zip(*sets, strict=True)]
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple[np.ndarray, np.ndarray]], swap: float = SWAP, steps: int = 300) -> Linear:
+def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple[np.ndarray, np.ndarray]], swap: float = SWAP, steps: int = STEPS) -> Linear:
     """Logistic regression on (text, feature) pairs, classes of equal weight; a constant where there is one class.
 
     Every feature takes part, at a scale by the evidence that it differs between the
@@ -98,7 +98,12 @@ def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple
         return Linear(np.zeros(0, np.uint64), np.zeros(0), 20.0 if len(y) and y[0] else -20.0)
     n1, n0 = y.sum(), len(y) - y.sum()
     chosen = np.unique(np.concatenate([feature, *(x for t in touched for x in t)]))
-    f = np.searchsorted(chosen, feature)
+    f, doc = np.searchsorted(chosen, feature).astype(np.int32), doc.astype(np.int32)
+    order = np.argsort(f, kind="stable")
+    by_feature, heads = doc[order], np.flatnonzero(np.concatenate(([True], np.diff(f[order]) > 0))) if len(f) else np.zeros(0, np.int64)
+    there, texts = f[order][heads], np.flatnonzero(np.concatenate(([True], np.diff(doc) > 0))) if len(doc) else np.zeros(0, np.int64)
+    own = doc[texts]  # pairs come sorted by text, so sums over each text and each feature are sums of runs
+    del order
     row = np.array([i for i, t in enumerate(touched) for side in t for _ in side], np.int64)
     col = np.searchsorted(chosen, np.concatenate([np.zeros(0, np.uint64), *(x for t in touched for x in t)]))
     sign = np.array([s for t in touched for s, side in zip((1.0, -1.0), t, strict=True) for _ in side])
@@ -110,8 +115,11 @@ def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple
     m1, m2, share = np.zeros(len(w) + 1), np.zeros(len(w) + 1), np.where(y > 0, 0.5 / n1, 0.5 / n0)
     for k in range(1, steps + 1):
         v = scale * w
-        r = (1 / (1 + np.exp(-(bias + np.bincount(doc, v[f], len(y))).clip(-50, 50))) - y) * share
-        g = np.bincount(f, r[doc], len(w))
+        total = np.full(len(y), bias)
+        total[own] += np.add.reduceat(v[f], texts) if len(f) else 0
+        r = (1 / (1 + np.exp(-total.clip(-50, 50))) - y) * share
+        g = np.zeros(len(w))
+        g[there] = np.add.reduceat(r[by_feature], heads) if len(f) else 0
         if len(touched):
             change = np.bincount(row, sign * v[col], len(touched))
             g += 2 * swap / len(touched) * np.bincount(col, sign * change[row], len(w))
