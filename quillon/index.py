@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -186,13 +187,16 @@ class SearchIndex:
     def stats(self) -> Stats:
         """Kept with a stored index, else counted once an index version; a row a field."""
         if self._stats is None:
-            n, ids = self.tables["docs"].agg(F.count("*"), F.count_distinct("doc_id")).collect()[0]
-            if n != ids:
-                raise RepeatedIds(f"{n} rows have {ids} different ids")
-            lengths = self.tables["postings"].where("dl is not null").groupBy("field").agg(F.sum("tf").alias("n")).collect()
-            self._stats = Stats(n, {r["field"]: r["n"] for r in lengths})
+            self._stats = self._count(self.tables["postings"])
         return self._stats
 
+    def _count(self, postings: DataFrame) -> Stats:
+        n, ids = self.tables["docs"].agg(F.count("*"), F.count_distinct("doc_id")).collect()[0]
+        if n != ids:
+            raise RepeatedIds(f"{n} rows have {ids} different ids")
+        lengths = postings.where("dl is not null").groupBy("field").agg(F.sum("tf").alias("n")).collect()
+        return Stats(n, {r["field"]: r["n"] for r in lengths})
+
     def doc_count(self) -> int:
         return self.stats.docs
 
@@ -286,20 +290,25 @@ class SearchIndex:
 
     def save(self, path: str) -> SearchIndex:
         """Write a snapshot below ``path``, make it the current one, and return the index that reads it."""
-        snap, stats = uuid.uuid4().hex, self.stats
+        snap = uuid.uuid4().hex
         tables = {n: t for n, t in self.tables.items() if n != "terms"}
-        postings = tables["postings"].persist(StorageLevel.DISK_ONLY)  # read twice here; ranging reads it once more
+        postings = tables["postings"].persist(StorageLevel.DISK_ONLY)  # for the counts, the dictionary, the sample of keys and the rows
+        stats = self._stats = self._stats or self._count(postings)
         tables["terms"] = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
         split = {"postings": ["field"], "terms": ["field"], "cells": ["field", "cell"]}
         order = {"docs": ["doc_id"], "postings": ["field", "term", "doc_id"], "terms": ["field", "term"], "numbers": ["field", "value"], "dates": ["field", "value"]}
-        for name, t in tables.items():
-            t = postings if name == "postings" else t
+
+        def write(name: str) -> None:
+            t = postings if name == "postings" else tables[name]
             if name in order:
                 t = t.repartitionByRange(*order[name]).sortWithinPartitions(*order[name])
             elif name == "cells":
                 t = t.repartition("field", "cell")
             w = t.write.partitionBy(*split[name]) if name in split else t.write
             w.parquet(f"{path}/{snap}/{name}")
+
+        with ThreadPoolExecutor(4) as pool:  # small tables do not wait for large ones
+            list(pool.map(write, sorted(tables, key=lambda n: n != "postings")))
         postings.unpersist()
         meta = {"version": VERSION, "snapshot": snap, "docs": stats.docs, "lengths": stats.lengths, "schemas": {n: t.schema.json() for n, t in tables.items()}}
         _replace_text(self.spark, f"{path}/meta.json", json.dumps(meta))

@@ -244,7 +244,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     gone = _members(sig, radius).where("not kept").select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body))
     hashed = docs.withColumn(body, F.xxhash64("text"))
     same = lambda i, b: hashed["doc_id"].eqNullSafe(F.col(i)) & (hashed[body] == F.col(b)) & hashed["text"].isNotNull()
-    left = hashed.join(gone, same(gone_id, gone_body), "left_anti")
+    left = hashed.join(gone.hint("merge"), same(gone_id, gone_body), "left_anti")  # it grows with the documents: never broadcast
     again = materialise(rows.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body)), "repeated")
     discard(rows, sig)
     if not again.isEmpty():
