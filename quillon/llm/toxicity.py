@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from .common import BYTE, POS, Words, chunks, labelled, member, mix, sieve, type_of, words
 
 MAX_TRAIN, RIDGE, SWAP, SURE, STEPS = 20_000, 1e-4, 1.0, 4.0, 100
+#: Pairs of text and feature that are worked on at once.
+BLOCK = 1 << 20
 #: Lists of interchangeable identity terms.
 IDENTITY = (
     ("person", "woman", "man", "transgender", "gay", "lesbian", "straight", "bisexual", "queer"),
@@ -87,6 +89,17 @@ def effects(pairs: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]
     return [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in zip(*sets, strict=True)]
 
 
+def run_sums(values: np.ndarray, at: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of ``values[at]`` over the runs that begin at ``heads``, some runs at a time."""
+    out, ends = np.empty(len(heads)), np.append(heads[1:], len(at))
+    lo = 0
+    while lo < len(heads):
+        hi = max(lo + 1, int(np.searchsorted(ends, heads[lo] + BLOCK, side="right")))
+        out[lo:hi] = np.add.reduceat(values[at[heads[lo] : ends[hi - 1]]], heads[lo:hi] - heads[lo])
+        lo = hi
+    return out
+
+
 def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple[np.ndarray, np.ndarray]], swap: float = SWAP, steps: int = STEPS) -> Linear:
     """Logistic regression on (text, feature) pairs, classes of equal weight; a constant where there is one class.
 
@@ -97,17 +110,31 @@ def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple
     if len(np.unique(y)) < 2:
         return Linear(np.zeros(0, np.uint64), np.zeros(0), 20.0 if len(y) and y[0] else -20.0)
     n1, n0 = y.sum(), len(y) - y.sum()
-    chosen = np.unique(np.concatenate([feature, *(x for t in touched for x in t)]))
-    f, doc = np.searchsorted(chosen, feature).astype(np.int32), doc.astype(np.int32)
-    order = np.argsort(f, kind="stable")
-    by_feature, heads = doc[order], np.flatnonzero(np.concatenate(([True], np.diff(f[order]) > 0))) if len(f) else np.zeros(0, np.int64)
-    there, texts = f[order][heads], np.flatnonzero(np.concatenate(([True], np.diff(doc) > 0))) if len(doc) else np.zeros(0, np.int64)
-    own = doc[texts]  # pairs come sorted by text, so sums over each text and each feature are sums of runs
-    del order
+    chosen = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for t in touched for x in t)]))
+    for i in range(0, len(feature), BLOCK):
+        chosen = np.union1d(chosen, feature[i : i + BLOCK])
+    f = np.empty(len(feature), np.int32)
+    for i in range(0, len(f), BLOCK):
+        f[i : i + BLOCK] = np.searchsorted(chosen, feature[i : i + BLOCK])
+    del feature  # the arrays of pairs are the memory of this function: each goes when the next is there
+    own, texts = np.unique(doc, return_index=True)  # pairs come sorted by text, so sums over each text and each feature are sums of runs
+    key = f.astype(np.uint64) << np.uint64(32)
+    key |= doc.astype(np.uint32)
+    del doc
+    key.sort()
+    by_feature = np.empty(len(key), np.int32)
+    c, c1 = np.zeros(len(chosen)), np.zeros(len(chosen))
+    for i in range(0, len(key), BLOCK):
+        of = (key[i : i + BLOCK] >> np.uint64(32)).astype(np.int64)
+        by_feature[i : i + BLOCK] = key[i : i + BLOCK] & np.uint64(0xFFFFFFFF)
+        c += np.bincount(of, minlength=len(chosen))
+        c1 += np.bincount(of, y[by_feature[i : i + BLOCK]], len(chosen))
+    del key
+    there = np.flatnonzero(c)
+    heads = np.concatenate((np.zeros(1, np.int64), np.cumsum(c[there])[:-1].astype(np.int64))) if len(there) else np.zeros(0, np.int64)
     row = np.array([i for i, t in enumerate(touched) for side in t for _ in side], np.int64)
     col = np.searchsorted(chosen, np.concatenate([np.zeros(0, np.uint64), *(x for t in touched for x in t)]))
     sign = np.array([s for t in touched for s, side in zip((1.0, -1.0), t, strict=True) for _ in side])
-    c, c1 = np.bincount(f, minlength=len(chosen)), np.bincount(f, y[doc], len(chosen))
     p = c / len(y)
     z = (c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     scale = np.minimum(1, (z / SURE) ** 2)
@@ -116,10 +143,10 @@ def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, touched: list[tuple
     for k in range(1, steps + 1):
         v = scale * w
         total = np.full(len(y), bias)
-        total[own] += np.add.reduceat(v[f], texts) if len(f) else 0
+        total[own] += run_sums(v, f, texts)
         r = (1 / (1 + np.exp(-total.clip(-50, 50))) - y) * share
         g = np.zeros(len(w))
-        g[there] = np.add.reduceat(r[by_feature], heads) if len(f) else 0
+        g[there] = run_sums(r, by_feature, heads)
         if len(touched):
             change = np.bincount(row, sign * v[col], len(touched))
             g += 2 * swap / len(touched) * np.bincount(col, sign * change[row], len(w))
@@ -151,15 +178,27 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identi
             texts = ["\n".join(s for s in _SENTENCE.findall(t) if named.search(s)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), lists, pa.array(texts, pa.string())], ["id", "y", "h", "named"])
 
-    got = labelled(docs, labels, "toxic", max_train, 1).mapInArrow(run, "id long, y double, h array<long>, named string").toArrow().sort_by("id").combine_chunks()
-    y = got.column("y").to_numpy()
+    got = labelled(docs, labels, "toxic", max_train, 1).mapInArrow(run, "id long, y double, h array<long>, named string").toArrow()
+    order = np.argsort(got.column("id").to_numpy())
+    y, named_in = got.column("y").to_numpy()[order], got.column("named").to_pylist()
+    length = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy() for c in got.column("h").chunks)])[order]
     if len(np.unique(y)) < 2:
         warnings.warn(f"{len(y)} labelled documents of {len(np.unique(y))} classes: the toxicity model is a constant", stacklevel=2)
-    lists = got.column("h").combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    length = lists.value_lengths().to_numpy()
-    touched = effects([x for s in got.column("named").to_pylist() if s for x in swaps(s, identity)])
-    return fit(np.repeat(np.arange(len(length)), length), lists.flatten().to_numpy().view(np.uint64), y, touched, swap)
+    pairs, begin = np.empty(int(length.sum()), np.uint64), np.empty(len(y), np.int64)
+    begin[order] = np.cumsum(length) - length
+    at = 0
+    for c in got.column("h").chunks:  # each row's features to its place by id
+        values, ends = c.flatten().to_numpy().view(np.uint64), np.cumsum(c.value_lengths().to_numpy())
+        for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends, strict=True) if len(ends) else ():
+            pairs[begin[at] : begin[at] + hi - lo] = values[lo:hi]
+            at += 1
+        del values
+    del got
+    touched = effects([x for i in order if named_in[i] for x in swaps(named_in[i], identity)])
+    pa.default_memory_pool().release_unused()
+    held = [pairs]
+    del pairs
+    return fit(np.repeat(np.arange(len(length), dtype=np.int32), length), held.pop(), y, touched, swap)
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:
