@@ -130,3 +130,17 @@ def test_pii_of_awkward_rows(awkward, nothing):
     assert pii.spans(awkward).count() == 0 and pii.spans(nothing).count() == 0
     assert sorted(map(str, pii.redact(awkward).collect())) == sorted(map(str, awkward.collect()))
     assert pii.redact(nothing).columns == nothing.columns
+
+
+def test_toxicity_fit_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["woman", "man", "idiot", "kind", *(f"word{i}" for i in range(40))], rng.integers(0, 30))) for _ in range(80)]
+    y, (d, h) = (rng.random(80) < 0.4).astype(float), toxicity.features(toxicity.words(pa.array(texts)))
+    touched = toxicity.effects([p for t in texts for p in toxicity.swaps(t)])
+    whole = toxicity.fit(d, h, y, touched)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    parts = toxicity.fit(d, h, y, touched)
+    assert (parts.terms == whole.terms).all() and np.allclose(parts.weight, whole.weight) and abs(parts.bias - whole.bias) < 1e-9
+    values, at = rng.random(9), rng.integers(0, 9, 50)
+    heads = np.array([0, 3, 20, 49])
+    assert np.allclose(toxicity.run_sums(values, at, heads), [values[x].sum() for x in np.split(at, heads[1:])])
