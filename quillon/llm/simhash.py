@@ -1,13 +1,18 @@
-"""SimHash near-dedup: every pair of distinct fingerprints is compared, tile by tile.
+"""SimHash near-dedup: every pair of distinct fingerprints within the radius is found.
 
 A fingerprint has 128 bits over all words of the whole text: each distinct word, again
 where it comes 2, 4, 8... times, and each distinct pair of neighbouring words at a
-quarter of a word's weight, so that counts and order are read too.  Tiles hold
-fingerprints of neighbouring population counts; since the counts of two fingerprints
-differ by at most their distance, tile pairs, and rows within a pair, whose counts
-differ by more than the radius are skipped.  The comparison is exact, hence quadratic
-in the number of *distinct* fingerprints; equal fingerprints are grouped first and
-count once.
+quarter of a word's weight, so that counts and order are read too.  Equal fingerprints
+are grouped first and count once.
+
+Up to ``DIRECT`` distinct fingerprints are compared pair by pair, in tiles of neighbouring
+population counts; since the counts of two fingerprints differ by at most their
+distance, tile pairs, and rows within a pair, whose counts differ by more than the
+radius are skipped.  More are compared where they may be near only: of two fingerprints
+within 22 bits one of eight 16-bit blocks differs by 2 bits at most (the last by 1), so
+each block is a table of cells, and a cell is compared with those within that many bits.
+No cell is capped, and both ways are exact: they find the same links.  A part of the
+pairs is still compared, 3 % at full blocks, so the time stays quadratic, of far fewer pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from .common import chunks, discard, even_slots, fresh, materialise, mix, type_o
 RADIUS = 22
 WORD_WEIGHT, PAIR_WEIGHT = 4, 1
 TILE, MAX_TILE, TILES, PARTITIONS = 32768, 262144, 64, 1 << 14
+DIRECT, BLOCKS, PART, MAX_PART, CELL = 1 << 16, 8, 1 << 17, 3 << 18, 16
+SIFT, SETTLE = 1 << 15, 1 << 20
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
@@ -117,6 +124,102 @@ def compare(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None, radius:
     return label, links
 
 
+def quotas(radius: int) -> list[int]:
+    """For each block the bits that may differ: of two fingerprints within ``radius``, some block differs by its quota at most.
+
+    Were every block over its quota, the distance would be at least the sum of quota + 1, which is radius + 1.
+    """
+    return [(radius + 1) // BLOCKS + (b < (radius + 1) % BLOCKS) - 1 for b in range(BLOCKS)]
+
+
+def _key(h1: np.ndarray, h2: np.ndarray, block: int, bits: int) -> np.ndarray:
+    """The low ``bits`` of a 16-bit block."""
+    half = h1 if block < BLOCKS // 2 else h2
+    return ((half >> np.uint64(16 * (block % (BLOCKS // 2)))) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, where each row points to the first of its component, after links a - b."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, root := label[label]):
+            label = root
+
+
+def compare_block(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None, block: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``compare``, for (h1, h2, documents) in any order, of the links that ``block`` is the first to find; the row that stands for a component is any of its rows.
+
+    A block finds a link if its keys differ by its quota at most; over all blocks each link is found once.
+    """
+    own = b is None
+    quota = quotas(radius)
+    masks = np.arange(1 << bits)
+    masks = masks[np.bitwise_count(masks) <= quota[block]]
+    place = [np.argsort(_key(t[0], t[1], block, bits), kind="stable") for t in ((a,) if own else (a, b))]
+    a = tuple(c[place[0]] for c in a)
+    b = a if own else tuple(c[place[1]] for c in b)
+    base = 0 if own else len(a[0])
+    label, links = np.arange(len(a[0]) + (0 if own else len(b[0]))), np.zeros(len(a[0]) + (0 if own else len(b[0])), np.int64)
+    from_a, from_b = (np.searchsorted(_key(t[0], t[1], block, bits), np.arange((1 << bits) + 1)) for t in (a, b))
+    xor, odd, even, near = np.empty(SIFT, np.uint64), np.empty(SIFT, np.uint8), np.empty(SIFT, np.uint8), np.empty(SIFT, bool)
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    n_edges = 0
+
+    def settle() -> None:
+        """Of the links found so far, count those that no block before this one finds, and join their rows."""
+        nonlocal label, n_edges
+        i, j = (np.concatenate(x) for x in zip(*edges, strict=True))
+        x1, x2 = a[0][i] ^ b[0][j], a[1][i] ^ b[1][j]
+        new = j > i if own else np.ones(len(i), bool)
+        for c in range(block):
+            new &= np.bitwise_count(_key(x1, x2, c, bits)).astype(np.int64) > quota[c]
+        i, j = i[new], j[new]
+        np.add.at(links, i, b[2][j])
+        np.add.at(links, base + j, a[2][i])
+        label = _join(label, i, base + j)
+        edges.clear()
+        n_edges = 0
+
+    for k in np.flatnonzero(np.diff(from_a)) if len(masks) else ():
+        cells = masks ^ k
+        if own:
+            cells = cells[cells >= k]
+        lo = from_b[cells]
+        size = from_b[cells + 1] - lo
+        end = np.cumsum(size)
+        at = np.repeat(lo - end + size, size) + np.arange(end[-1])
+        for c in range(0, len(at), SIFT):
+            col = at[c : c + SIFT]
+            y1, y2, step = b[0][col], b[1][col], SIFT // len(col)
+            for s in range(from_a[k], from_a[k + 1], step):
+                x1, x2 = (h[s : min(s + step, from_a[k + 1]), None] for h in a[:2])
+                n = len(x1) * len(col)
+                x, d, e = (t[:n].reshape(len(x1), -1) for t in (xor, odd, even))
+                np.bitwise_count(np.bitwise_xor(x1, y1, out=x), out=d)
+                np.bitwise_count(np.bitwise_xor(x2, y2, out=x), out=e)
+                np.less_equal(np.add(d, e, out=d), radius, out=near[:n].reshape(len(x1), -1))
+                eight = np.packbits(near[:n])
+                some = np.flatnonzero(eight)
+                if len(some):
+                    which, bit = np.nonzero(np.unpackbits(eight[some, None], axis=1))
+                    row, found = np.divmod(8 * some[which] + bit, len(col))
+                    edges.append((s + row, col[found]))
+                    n_edges += len(row)
+                    if n_edges > SETTLE:
+                        settle()
+    if edges:
+        settle()
+    spot = np.concatenate([place[0], *(base + x for x in place[1:])])
+    out_label, out_links = np.empty_like(label), np.empty_like(links)
+    out_label[spot], out_links[spot] = spot[label], links
+    return out_label, out_links
+
+
 def _tiles(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with their tile, and the table of tiles (tile, least and greatest population count, and of the first half).
 
@@ -173,6 +276,32 @@ def _near(nodes: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(max(1, n), "slot").groupBy("slot", "i", "j").applyInArrow(run, "u long, v long, links long")
 
 
+def _near_by_blocks(nodes: DataFrame, count: int, radius: int) -> DataFrame:
+    """As ``_near``, v any one node of u's component, for ``count`` nodes: their parts are compared pair by pair, once for each block."""
+    spark = nodes.sparkSession
+    size = min(MAX_PART, max(PART, -(-count // 3)))
+    parts = -(-count // size)
+    bits = min(16, max(1, (size // CELL - 1).bit_length()))
+    jobs = [(b, i, j) for b in range(BLOCKS) for j in range(parts) for i in range(j + 1)]  # 8 x 19 x 20 / 2 at 14 million nodes
+    n = min(PARTITIONS, len(jobs))
+    slots = even_slots(spark, n)
+    pairs = F.broadcast(spark.createDataFrame([(slots[k % n], *x) for k, x in enumerate(jobs)], "slot long, block int, i int, j int"))
+    parted = nodes.select(F.pmod(F.xxhash64("h1", "h2"), F.lit(parts)).cast("int").alias("part"), "node", "h1", "h2", "n")
+    side = lambda c: parted.join(pairs, parted["part"] == pairs[c]).select("slot", "block", "i", "j", F.lit(c == "j").alias("second"), "node", "h1", "h2", "n")
+    rows = side("i").union(side("j").where("i < j"))
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        second = t.column("second").to_numpy()
+        h1, h2, count, node = (t.column(c).to_numpy() for c in ("h1", "h2", "n", "node"))
+        h1, h2 = h1.view(np.uint64), h2.view(np.uint64)
+        a, b = ((h1[s], h2[s], count[s]) for s in (~second, second))
+        label, links = compare_block(a, b if key[2].as_py() < key[3].as_py() else None, key[1].as_py(), bits, radius)
+        node, u = np.concatenate([node[~second], node[second]]), np.flatnonzero(links)
+        return pa.table({"u": node[u], "v": node[label[u]], "links": links[u]})
+
+    return rows.repartition(n, "slot").groupBy("slot", "block", "i", "j").applyInArrow(run, "u long, v long, links long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) with v the smallest node of u's component, for every node but those: alternating large and small stars."""
     norm = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -200,7 +329,8 @@ def _members(sig: DataFrame, radius: int) -> DataFrame:
     head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body"))
     same = sig.groupBy("h1", "h2").agg(head.alias("head"), F.count("*").alias("n"))
     nodes = materialise(same.withColumns({"p1": pop("h1"), "p2": pop("h2"), "node": F.monotonically_increasing_id()}), "distinct")
-    near = materialise(_near(nodes, radius), "near")
+    count = nodes.count()
+    near = materialise(_near(nodes, radius) if count <= DIRECT else _near_by_blocks(nodes, count, radius), "near")
     stars = components(near.select("u", "v"))
     linked = near.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     known = nodes.join(linked, "node", "left").join(stars.select(F.col("u").alias("node"), "v"), "node", "left").where("links > 0 or n > 1").withColumn("v", F.coalesce("v", "node"))

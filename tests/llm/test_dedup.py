@@ -54,6 +54,58 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, partitions):
     assert {r["doc_id"]: (r["group_id"], r["links"], r["kept"]) for r in got} == {i: v for (i, _), v in want.items()} and len(got) == len(want) > 50
 
 
+@pytest.mark.parametrize("part", [1 << 17, 40])
+def test_blocks_find_every_link(spark, monkeypatch, part):
+    rows = corpus()
+    want = groups_by_force(rows, simhash.RADIUS)
+    monkeypatch.setattr(simhash, "DIRECT", 0)
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "MAX_PART", part)
+    monkeypatch.setattr(simhash, "_near", None)  # all by blocks
+    got = simhash.near_duplicates(spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA)).collect()
+    assert {r["doc_id"]: (r["group_id"], r["links"], r["kept"]) for r in got} == {i: v for (i, _), v in want.items()} and len(got) == len(want) > 50
+
+
+@pytest.mark.parametrize("radius", [0, 3, 7, 22, 40])
+@pytest.mark.parametrize("bits", [3, 16])
+def test_blocks_lose_no_link(monkeypatch, radius, bits):
+    """Against brute force, links at every distance up to the radius and a little over."""
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
+    flips = np.zeros((300, 128), np.uint8)
+    for k, f in enumerate(flips):
+        f[rng.choice(128, k % (radius + 3), replace=False)] = 1
+    h = np.unique(np.concatenate([base, base ^ np.packbits(flips, axis=1).view(np.uint64)]), axis=0)
+    docs = rng.integers(1, 5, len(h))
+    near = np.bitwise_count(h[:, None] ^ h[None]).sum(2) <= radius
+    np.fill_diagonal(near, False)
+    monkeypatch.setattr(simhash, "SIFT", 64)  # several slices a cell
+    monkeypatch.setattr(simhash, "SETTLE", 10)
+    own, cross = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    tile = lambda s: (h[s, 0].copy(), h[s, 1].copy(), docs[s])
+    half = len(h) // 2
+    for block in range(simhash.BLOCKS):
+        label, links = simhash.compare_block(tile(slice(None)), None, block, bits, radius)
+        assert (label[label] == label).all() and ((label != np.arange(len(h))) <= (links > 0)).all()
+        own += links
+        for s in (slice(0, half), slice(half, None)):
+            cross[s] += simhash.compare_block(tile(s), None, block, bits, radius)[1]
+        cross += simhash.compare_block(tile(slice(0, half)), tile(slice(half, None)), block, bits, radius)[1]
+    assert own.tolist() == cross.tolist() == (near * docs).sum(1).tolist()
+    assert (own > 0).any() or radius == 0
+
+
+def test_blocks_pass_over_most_pairs(monkeypatch):
+    compared = []
+    whole = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x, **k: compared.append(x.size) or whole(x, **k))
+    h = np.random.default_rng(4).integers(0, 1 << 63, (20000, 2), dtype=np.uint64) * np.uint64(2)
+    docs = np.ones(len(h), np.int64)
+    for block in range(simhash.BLOCKS):
+        simhash.compare_block((h[:, 0].copy(), h[:, 1].copy(), docs), None, block, 16, 22)
+    assert sum(compared) < 0.1 * len(h) ** 2 / 2
+
+
 def test_tile_pairs_fill_their_partitions(spark):
     tiles = spark.createDataFrame([(k, 60, 68, 20, 40) for k in range(12)], "tile long, lo int, hi int, lo1 int, hi1 int")
     pairs, n = simhash.tile_pairs(tiles, 22)
