@@ -70,3 +70,15 @@ def test_unsaved_index_reads_wanted_terms_only(spark, field, node, monkeypatch):
     assert sorted(compile_query(fresh, node).collect()) == want and bool(want) == (node != q.Term("nowhere", "t"))
     assert fresh.stats == kept.stats
     kept.close()
+
+
+def test_symbols_are_taken_in_bounded_parts(spark, monkeypatch):
+    from quillon.operators import codesearch
+
+    docs = spark.createDataFrame([(1, "def f():\n  pass\nclass A:\n  pass"), (2, None), (3, ""), (4, "x = 1")], "doc_id int, value string").coalesce(1)
+    want = codesearch.symbols(docs, "python").collect()
+    sizes = []
+    monkeypatch.setattr(codesearch, "SLICE", 8)
+    monkeypatch.setattr(codesearch, "slices", lambda b, size, most: (sizes.append(most), *kernels.slices(b, size, most))[1:])
+    assert codesearch.symbols(docs, "python").collect() == want
+    assert [[s["name"] for s in r["symbols"]] for r in want] == [["f", "A"], [], [], ["x"]]
