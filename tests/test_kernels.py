@@ -82,3 +82,42 @@ def test_symbols_are_taken_in_bounded_parts(spark, monkeypatch):
     monkeypatch.setattr(codesearch, "slices", lambda b, size, most: (sizes.append(most), *kernels.slices(b, size, most))[1:])
     assert codesearch.symbols(docs, "python").collect() == want
     assert [[s["name"] for s in r["symbols"]] for r in want] == [["f", "A"], [], [], ["x"]]
+
+
+def test_frequencies_shuffle_only_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (1, "a c"), (2, "a A"), (None, "z"), (None, "z y"), (3, None), (4, "")], "doc_id int, t string")
+    want = sorted(map(repr, a.token_frequencies(docs.select("doc_id", a.SIMPLE(F.col("t")).alias("tokens"))).collect()))
+    assert sorted(map(repr, a.frequencies(docs, "t", a.SIMPLE).collect())) == want
+    got = {(r["doc_id"], r["term"]): (r["tf"], r["positions"]) for r in a.frequencies(docs, "t", a.SIMPLE).collect()}
+    assert got[1, "a"] == (2, [1, 2]) and got[1, "b"] == (2, [1, 3]) and got[2, "a"] == (2, [1, 2]) and got[None, "z"] == (2, [1, 1]) and len(got) == 6
+    for once in (a.frequencies(docs.where("doc_id > 1"), "t", a.SIMPLE), a.token_frequencies(docs.where("doc_id > 1").select("doc_id", a.SIMPLE(F.col("t")).alias("tokens")))):
+        assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_offsets_by_kernel_and_by_row(spark, texts):
+    for name in ("simple", "code", "html", "keyword", "unique"):
+        own = CHAINS[name]
+        slow = lambda text: own(text)  # noqa: E731, B023
+        slow.pattern, slow.before, slow.inner = own.pattern, own.before, own.inner
+        some = texts.where("id < 1000 or id >= 2000")  # by row, letters newer than the JVM's are misplaced
+        want = {r["id"]: r["x"] for r in a.with_offsets(some, "t", slow, "x").collect()}
+        assert {r["id"]: r["x"] for r in a.with_offsets(some, "t", own, "x").collect()} == want
+        flat = sorted(tuple(r) for r in a.token_rows(some, ["id"], "t", own, offsets=True).collect())
+        assert flat == sorted((i, *t) for i, x in want.items() for t in x or [])
+    for r in a.with_offsets(texts, "t", a.chain(a.unicode_tokens), "x").where("t is not null").collect():
+        assert [r["t"].encode()[t["start"] : t["end"]].decode() for t in r["x"]] == [t["term"] for t in r["x"]]
+
+
+def test_unsaved_index_is_changed_by_documents(spark):
+    """The postings of an index that is not kept are made of the documents that stay, not joined."""
+    docs = spark.createDataFrame([(1, "fox one"), (2, "fox two"), (3, "dog")], "doc_id int, t string")
+    new = spark.createDataFrame([(2, "dog dog"), (4, "fox")], "doc_id int, t string")
+    mapping = IndexMapping(DocumentMapping({"t": text_field("simple")}, dynamic=False))
+    changed = SearchIndex.of(docs, mapping).apply(new, spark.createDataFrame([(3,)], "doc_id int"))
+    whole = SearchIndex.of(spark.createDataFrame([(1, "fox one"), (2, "dog dog"), (4, "fox")], "doc_id int, t string"), mapping)
+    assert changed._made and changed.stats == whole.stats
+    for term in ("fox", "dog", "two"):
+        assert sorted(compile_query(changed, q.Term(term, "t")).collect()) == sorted(compile_query(whole, q.Term(term, "t")).collect())
+    kept = SearchIndex.of(docs, mapping).warm()
+    assert not kept._made and sorted(compile_query(kept.index(new), q.Term("fox", "t")).collect()) == sorted(compile_query(SearchIndex.of(docs, mapping).index(new), q.Term("fox", "t")).collect())
+    kept.close()
